@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, quality
+from millrace.llm import byte_cnn, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_ledger": quality.op2_quality_ledger,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op10_language_id": byte_cnn.op10_language_id,
 }
 
 ORACLES = {
