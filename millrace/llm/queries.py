@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_cnn, fingerprint_index, mixing, quality, radix_suffix, toxicity
+from millrace.llm import byte_cnn, fingerprint_index, mixing, order_minhash, quality, radix_suffix, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_ledger": quality.op2_quality_ledger,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_order_minhash": order_minhash.op5_order_minhash,
     "op6_fingerprint_index": fingerprint_index.op6_fingerprint_index,
     "op9_radix_suffix": radix_suffix.op9_radix_suffix,
     "op10_language_id": byte_cnn.op10_language_id,
