@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_cnn, fingerprint_index, mixing, order_minhash, quality, radix_suffix, toxicity
+from millrace.llm import byte_cnn, containment, fingerprint_index, mixing, order_minhash, quality, radix_suffix, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_order_minhash": order_minhash.op5_order_minhash,
     "op6_fingerprint_index": fingerprint_index.op6_fingerprint_index,
+    "op7_containment": containment.op7_containment,
     "op9_radix_suffix": radix_suffix.op9_radix_suffix,
     "op10_language_id": byte_cnn.op10_language_id,
 }
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_quality_ledger": quality.OP2_SQL,
+    "op7_containment": containment.OP7_SQL,
 }
