@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_cnn, containment, fingerprint_index, mixing, order_minhash, quality, radix_suffix, toxicity
+from millrace.llm import byte_cnn, containment, fingerprint_index, mixing, order_minhash, pii, quality, radix_suffix, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_ledger": quality.op2_quality_ledger,
+    "op3_surrogates": pii.op3_surrogates,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_order_minhash": order_minhash.op5_order_minhash,
     "op6_fingerprint_index": fingerprint_index.op6_fingerprint_index,
