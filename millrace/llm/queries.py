@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_cnn, containment, fingerprint_index, mixing, order_minhash, pii, quality, radix_suffix, toxicity
+from millrace.llm import byte_cnn, containment, fingerprint_index, mixing, order_minhash, pii, quality, radix_suffix, suffix_tree, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_order_minhash": order_minhash.op5_order_minhash,
     "op6_fingerprint_index": fingerprint_index.op6_fingerprint_index,
     "op7_containment": containment.op7_containment,
+    "op8_suffix_tree": suffix_tree.op8_suffix_tree,
     "op9_radix_suffix": radix_suffix.op9_radix_suffix,
     "op10_language_id": byte_cnn.op10_language_id,
 }
