@@ -122,7 +122,7 @@ def mask_name(c: Column, seed: object = 0, style: str = "full") -> Column:
         new = F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), t, F.lit(":"), i.cast("string")), 256), 1, 1)), "")
     else:
         raise ValueError(f"unknown name style: {style}")
-    return F.when(t == "", canonical(c)).otherwise(new)
+    return F.when(t.isNull(), F.lit(None)).when(t == "", canonical(c)).otherwise(new)
 
 
 def mask_date(c: Column, seed: object = 0, keep: str = "none", jitter_days: int = 30) -> Column:

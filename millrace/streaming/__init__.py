@@ -37,4 +37,4 @@ def upsert_increment(spark: SparkSession, source: str, target: str, checkpoint:
 
 def windowed_totals(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type and time window, closed once the watermark has passed."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
