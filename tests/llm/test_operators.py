@@ -1,0 +1,357 @@
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import byte_cnn, components, containment, fingerprint_index as fi, mixing, order_minhash as om, pii, quality, radix_suffix as rs, suffix_tree as st, toxicity
+from millrace.llm.queries import ORACLES, QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 977}" for i in range(120_000))
+EDGE = [
+    (1, "one two three four five six seven", "en", "a", 1), (1, "one two three four five six seven", "en", "a", 1), (2, None, "en", None, None),
+    (3, "", None, "b", 0), (None, "one two three four five six seven", "fr", "a", 3), (4, " \n\t ", "de", None, 3), (5, LONG, "en", "a", len(LONG)), (6, "a b", None, None, None),
+]
+#: Columns of an operator's own names beside those that it reads.
+CLASHES = ["size", "node", "t", "doc", "n_words", "windows", "target", "copy_", "key", "rid", "row", "name"]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(EDGE, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def wide(edge):
+    return edge.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHES)])
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(name, spark, sf, same):
+    same(QUERIES[name](spark, sf), ORACLES[name])
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# 1
+
+
+def filled(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """Targets by resharing step by step."""
+    left, capped = share * sum(sizes), {}
+    while True:
+        open_ = [i for i in range(len(sizes)) if i not in capped]
+        total = sum(weights[i % 3] for i in open_)
+        over = [i for i in open_ if total and (left * weights[i % 3]) / total > most * sizes[i] + 1e-9]
+        if not over:
+            return [capped.get(i, left * weights[i % 3] / total if total else 0.0) for i in range(len(sizes))]
+        for i in over:
+            capped[i] = most * sizes[i]
+            left -= capped[i]
+
+
+@pytest.mark.parametrize("sizes", [[10, 20, 30], [1, 1000, 1], [0, 5, 5, 0], [7], [100, 1, 1, 1, 50, 3]])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    assert [got[f"s{i}"] for i in range(len(sizes))] == pytest.approx(filled(sizes))
+
+
+def test_mixing(spark, edge, empty, wide):
+    docs = [(i, "w " * (1 + i % 40), None, f"s{i % 4}" if i % 9 else None, 0) for i in range(4000)]
+    df = mixing.copies(mixing.sized(spark.createDataFrame(docs, SCHEMA)))
+    p = df.toPandas()
+    p["taken"] = p.copies * p["size"]
+    g = p.groupby("source", dropna=False).agg(t=("target", "first"), k=("taken", "sum"), r=("rate", "first"))
+    assert ((g.k - g.t).abs() <= 0.02 * g.t + 40).all() and (p.copies <= 2).all() and ((p.copies - np.floor(p.rate)).isin([0, 1])).all()
+    assert rows(df.select("doc_id", "copies")) == rows(mixing.copies(mixing.sized(spark.createDataFrame(docs, SCHEMA))).select("doc_id", "copies"))
+    assert mixing.mix(wide).columns == [*wide.columns, "copy"]
+    n = mixing.mix(spark.createDataFrame(docs, SCHEMA)).groupBy("doc_id").agg(F.max("copy").alias("c"))
+    assert dict(rows(n)) == {i: c for i, c in zip(p.doc_id, p.copies) if c}
+    assert mixing.mix(empty).count() == 0 and mixing.copies(mixing.sized(edge)).count() == len(EDGE)
+
+
+# 2
+
+
+def test_quality(spark, edge, empty, wide):
+    book = quality.ledger(edge).toPandas()
+    assert book.n_words.tolist()[:4] == [7, 7, 0, 0] and (book.fail_bits[:4] & 1).all() and book.n_words[6] == 120_000
+    assert quality.quality_filter(wide).columns == wide.columns and quality.quality_filter(empty).count() == 0
+    t = "a b c d e x a b c d e y\nline\nline\n###"
+    r = quality.measured(spark.createDataFrame([(1, t, "", "", 0)], SCHEMA)).first()
+    assert (r["n_repeat_words"], r["n_dup_lines"], r["n_lines"], r["n_symbols"]) == (10, 1, 4, 3)
+    a = {r["rule"]: r for r in quality.ablations(quality.ledger(edge)).collect()}
+    assert a["few_words"]["n_failed"] == 7 and quality.apply_policy(quality.ledger(edge), 1).count() <= 1
+
+
+# 3
+
+
+def test_surrogates_are_one_to_one():
+    s = pii.Surrogates("k")
+    for m in (2, 3, 10, 100, 1000):
+        x = [s.number(i, m, "t") for i in range(m)]
+        assert sorted(x) == list(range(m)) and all(a != b for a, b in enumerate(x))
+    assert len({s.of("phone", f"+1 (555) 555-{i:04d}") for i in range(2000)}) == 2000
+    assert pii.luhn("".join(c for c in s.of("card", "4111-1111-1111-1111") if c.isdigit())) and pii._mod97(s.of("iban", "DE89370400440532013000")) == 1
+
+
+def test_pii(spark, empty, wide, sf):
+    t = "Mail Bob.Smith@mail3.example.com or bob.smith@mail3.example.com; +1 (243) 555-5526, 10.2.3.44; Mr. John Smith, Mrs. Anna Smith; Frau Müller; " + "ab12" * 10
+    df = spark.createDataFrame([(1, t), (2, None), (3, ""), (4, "no data, only 12 words of 2024"), (None, t)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymize(df).collect()]
+    for x in ("smith@", "555-5526", "10.2.3.44", "John", "Anna", "Müller", "ab12ab12"):
+        assert x not in got[0]
+    assert got[1:4] == [None, "", "no data, only 12 words of 2024"] and got[4] == got[0]
+    assert got[0].lower().split()[1] == got[0].lower().split()[3].rstrip(";") and got[0] != pii.replaced(t, pii.Surrogates("other"))[0]
+    w = got[0].split("Mr. ")[1].split()
+    assert w[1].rstrip(",") == got[0].split("Mrs. ")[1].split()[1].rstrip(";") and w[0][-1] == "n" and len(w[0]) == 4
+    book = pii.ledger(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert pii.collisions(book).count() == 0 and pii.pseudonymize(wide).columns == wide.columns and pii.pseudonymize(empty).count() == 0
+
+
+# 4 and 10
+
+
+def test_toxicity(spark, edge, empty):
+    sf = "/root/testdata/sf0.01"
+    p = QUERIES["op4_toxicity"](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
+    h = p[p.held_out]
+    assert h.score.between(0, 1).all() and (h.predicted == (h.score >= 0.5)).all()
+    assert h[h.toxic == 1].score.mean() > 0.4 and h[h.toxic == 0].predicted.mean() < 0.05
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(edge, toxicity.train(edge, none)).count() == len(EDGE) and toxicity.score(empty, toxicity.train(empty, none)).count() == 0
+
+
+def test_language(spark, edge, empty):
+    sf = "/root/testdata/sf0.01"
+    p = QUERIES["op10_language_id"](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/documents.parquet"), on="doc_id")
+    h = p[p.held_out]
+    assert (h.lang_pred == h.lang).mean() > 0.98 and p.score.between(0, 1).all()
+    assert (p.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in p.doc_id]).all()
+    m = byte_cnn.train(edge)
+    got = {(r["doc_id"], r["lang_pred"]) for r in byte_cnn.identify(edge, m).collect() if r["doc_id"] in (2, 3, 4)}
+    assert got == {(2, "und"), (3, "und"), (4, "und")} and byte_cnn.train(empty) is None
+    assert {r["lang_pred"] for r in byte_cnn.identify(edge, None).collect()} == {"und"}
+
+
+# 5
+
+
+def lev(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def test_banded_alignment():
+    r = random.Random(5)
+    for _ in range(600):
+        k = r.choice([2, 6, 60])
+        a = [r.randrange(k) for _ in range(r.randint(1, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 10)):
+            i = r.randint(0, len(b))
+            if r.random() < 0.4:
+                b.insert(i, r.randrange(k))
+            elif i < len(b):
+                b[i : i + 1] = [] if r.random() < 0.5 else [r.randrange(k)]
+        most = r.choice([int(0.2 * max(len(a), len(b))), max(len(a), len(b)), 1])
+        d, g = lev(a, b), om.edits(np.array(a, np.uint32), np.array(b, np.uint32), most)
+        assert (d == g) if d <= most else g > most
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(f"{r.randrange(200):03d}", f"{r.randrange(200):03d}") for _ in range(150)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    want = sorted((x, root(x)) for x in {n for a, b in edges if a != b for n in (a, b)})
+    assert rows(components.components(spark.createDataFrame(edges, "u string, v string"))) == want
+    assert components.components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_near_duplicates(spark, edge, empty, wide, monkeypatch):
+    r = random.Random(2)
+    base = [[f"w{r.randrange(5000)}" for _ in range(r.choice([40, 150]))] for _ in range(25)]
+    docs, cls = [], []
+    for i in range(150):
+        k = r.randrange(25)
+        w = list(base[k])
+        for _ in range(r.randint(0, len(w) // 45)):
+            w[r.randrange(len(w))] = "edit"
+        docs.append((i, " ".join(w), "", "", 0))
+        cls.append(k)
+    want = sorted(((i, min(j for j in range(150) if cls[j] == cls[i])) for i in range(150)), key=repr)
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert rows(om.classes(df).select("doc_id", "class_id")) == want
+    monkeypatch.setattr(om, "SALTED", 2)  # every bucket in parts
+    assert rows(om.classes(df).select("doc_id", "class_id")) == want
+    got = om.classes(edge)
+    assert got.count() == len(EDGE) and {x["class_id"] for x in got.collect() if x["doc_id"] in (1, None)} == {1}
+    assert om.dedup(wide).columns == wide.columns and om.dedup(edge).count() == 6 and om.dedup(empty).count() == 0
+
+
+# 6 and 9
+
+
+def mixture(seed):
+    r = random.Random(seed)
+    words = ["a", "bb", "ccc", "dé", "e　f", "the", "of", "x" * 30]
+    base = [" ".join(r.choice(words) for _ in range(r.choice([10, 60, 120, 300]))) for _ in range(12)]
+    out = []
+    for _ in range(80):
+        k = r.random()
+        t = None if k < 0.05 else "" if k < 0.1 else r.choice(base) if k < 0.3 else "a " * r.randint(40, 300) if k < 0.4 else ""
+        if k >= 0.4:
+            for _ in range(r.randint(1, 3)):
+                b = r.choice(base)
+                p = r.randint(0, len(b) // 2)
+                t += b[p : r.randint(p, len(b))] + " " + " ".join(r.choice(words) for _ in range(r.randint(0, 40)))
+        out.append((None if r.random() < 0.03 else r.randint(0, 60), t))
+    return out
+
+
+def repeated_bytes(texts, n=200):
+    data = [(t or "").encode() for t in texts]
+    c = collections.Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
+    out = []
+    for b in data:
+        m = bytearray(len(b))
+        for i in range(len(b) - n + 1):
+            if c[b[i : i + n]] > 1:
+                m[i : i + n] = b"\1" * n
+        kept = bytes(x for x, f in zip(b, m) if not f)
+        out.append((len(b), len(b) - len(kept), sum(m[i] and not (i and m[i - 1]) for i in range(len(m))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def repeated_words(docs, n=50):
+    key = lambda i: 2**63 if i is None else i
+    ws, first = [(i, (t or "").encode().split()) for i, t in docs], {}
+    for i, w in ws:
+        for j in range(len(w) - n + 1):
+            g = tuple(w[j : j + n])
+            first[g] = min(first.get(g, key(i)), key(i))
+    out = []
+    for i, w in ws:
+        m = [0] * len(w)
+        for j in range(len(w) - n + 1):
+            if first[tuple(w[j : j + n])] < key(i):
+                m[j : j + n] = [1] * n
+        kept = [x for x, f in zip(w, m) if not f]
+        out.append((i, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return out
+
+
+def test_radix_suffix(spark, edge, empty, wide):
+    docs = mixture(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows(rs.remove_repeats(df).select("row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == sorted(((t, *x) for (_, t), x in zip(docs, repeated_bytes([t for _, t in docs]))), key=repr)
+    assert rs.remove_repeats(empty).count() == 0 and rs.remove_repeats(wide).select("row.*").columns == wide.columns
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_fingerprint_index(spark, empty, wide, batches):
+    docs = mixture(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows(fi.remove_duplicates(df, batches=batches).select("row.doc_id", "n_words", "n_removed", "kept_sha256"))
+    assert got == sorted(repeated_words(docs), key=repr)
+    assert fi.remove_duplicates(empty, batches=batches).count() == 0 and fi.remove_duplicates(wide).select("row.*").columns == wide.columns
+
+
+def test_index_compacts(spark):
+    docs = [d for d in mixture(5) if d[0] is not None]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index, found = fi.FingerprintIndex(spark, df), []
+    for low in (0, 20, 40):
+        found += index.add(df.filter(f"doc_id >= {low} AND doc_id < {low + 20 if low < 40 else 99}"))
+        index.compact()
+    assert len(index.runs) == 1
+    n = rows(fi.repeats.merged(found, 50).select(F.expr("aggregate(zip_with(starts, ends, (a, z) -> z - a), 0L, (x, y) -> x + y)").alias("n")).agg(F.sum("n")))
+    seen = {(i, t): r for (i, t), r in zip(docs, repeated_words(docs))}
+    assert n[0][0] == sum(r[2] for r in seen.values())
+
+
+# 7
+
+
+def test_containment(spark, edge, empty, wide):
+    item = " ".join(f"q{i}" for i in range(24))  # 20 shingles, 16 needed
+    b = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (1, item)], "item_id long, text string")
+    cut = lambda n: " ".join(item.split()[:n])
+    docs = [(1, LONG + " " + item), (2, "x " + cut(20) + " y"), (3, cut(19)), (4, None), (5, ""), (2, "x " + cut(20) + " y"), (None, item)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(containment.leaks(df, b).select("doc_id", "item_id", "n_shared")) == sorted([(1, 1, 20), (2, 1, 16), (None, 1, 20)], key=repr)
+    assert rows(containment.clean(df, b).select("doc_id")) == [(3,), (4,), (5,)]
+    assert containment.clean(wide, b).columns == wide.columns and containment.clean(empty, b).count() == 0 and containment.leaks(edge, b.limit(0)).count() == 0
+
+
+# 8
+
+
+def test_suffix_tree(spark, sf, edge, empty):
+    p = pd.read_parquet(f"{sf}/documents.parquet")
+    got = QUERIES["op8_suffix_tree"](spark, sf).toPandas().set_index("doc_id")
+    tok = lambda t: (t or "").encode().lower().split()
+    c, n = collections.Counter(), 0
+    for i, t in zip(p.doc_id, p.text):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(tok(t))
+            n += 1
+    total, v = sum(c.values()) + n, len(c) + 1
+    for i, t in zip(p.doc_id, p.text):
+        w, r = tok(t), got.loc[i]
+        base = sum(math.log10(c[x] + 1) for x in w) + math.log10(n + 1) - (len(w) + 1) * math.log10(total + v + 1)
+        assert r.base_score == pytest.approx(base) and (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, total)
+    assert (got.score < 0).all()
+    assert st.score(edge, edge).count() == len(EDGE) and st.score(edge, empty).filter("base_score <> 0 or n_known <> 0").count() == 0 and st.score(empty, empty).count() == 0
+
+
+def test_tree_is_a_distribution(spark):
+    docs = spark.createDataFrame([(i, "the cat sat on the mat " * (i % 3 + 1)) for i in range(60)], "doc_id long, text string")
+    words, opened = st.word_counts(docs), st._counted(docs, st.openings, "t")
+    tree = st.grow(st._context_counts(words, opened), share=0.001, divergence=1.0)
+    seen = len(set(tree.column.tolist())) - 1
+    sums = (10.0 ** tree.logs[:, :-1]).sum(1) + (256 - seen) * 10.0 ** tree.logs[:, -1]
+    assert len(tree.logs) > 5 and np.allclose(sums, 1, atol=1e-3)
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as c
+    from millrace.llm.common import written
+
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in c.STAGES:
+        cols = docs.columns
+        docs = written(stage(spark, docs, sf), name)
+        seen.append(docs.count())
+        assert docs.columns == (cols if stage is not c.mix_sources else [*cols, "copy"])
+    assert seen[0] > seen[1] > 0 and rows(c.run(spark, sf)) == rows(docs)
