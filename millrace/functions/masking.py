@@ -199,16 +199,18 @@ def mask_card(c: Column, seed: object = 0, keep: str = "last4") -> Column:
     d, n = card_digits(c), F.length(card_digits(c))
     h = seeded(d, seed)
     body = F.concat(*[(number(h, 1 + 3 * i, 3) % 10).cast("string") for i in range(15)])
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  # works c out once, not wherever f names it
     tries = lambda make: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: make(x.cast("string"))), lambda s: F.call_function("luhn_check", s)), 1)
     if keep == "last4":
-        new = tries(lambda x: F.concat(F.substr(body, F.lit(1), n - 5), x, F.substr(d, n - 3)))
+        make = lambda b, x: F.concat(F.substr(b, F.lit(1), n - 5), x, F.substr(d, n - 3))
     elif keep == "bin":
-        new = tries(lambda x: F.concat(F.substring(d, 1, 6), F.substr(body, F.lit(1), n - 7), x))
+        make = lambda b, x: F.concat(F.substring(d, 1, 6), F.substr(b, F.lit(1), n - 7), x)
     else:
-        new = tries(lambda x: F.concat(F.substr(body, F.lit(1), n - 1), x))
+        make = lambda b, x: F.concat(F.substr(b, F.lit(1), n - 1), x)
+    new = once(body, lambda b: tries(lambda x: make(b, x)))
     chars = F.split(canonical(c), "")
     # digits of the new number, one by one, where the old ones were
-    placed = F.aggregate(chars, F.lit(""), lambda acc, ch: F.when(ch.rlike("[0-9]"), F.concat(acc, F.substr(new, F.length(F.regexp_replace(acc, "[^0-9]", "")) + 1, F.lit(1)))).otherwise(F.concat(acc, ch)))
+    placed = once(new, lambda v: F.aggregate(chars, F.lit(""), lambda acc, ch: F.when(ch.rlike("[0-9]"), F.concat(acc, F.substr(v, F.length(F.regexp_replace(acc, "[^0-9]", "")) + 1, F.lit(1)))).otherwise(F.concat(acc, ch))))
     rest = F.concat(F.repeat(F.lit("*"), F.greatest(F.length(canonical(c)) - 4, F.lit(0))), F.substr(canonical(c), F.greatest(F.length(canonical(c)) - 3, F.lit(1))))
     return F.when(d.rlike("^[0-9]{13,19}$"), F.when(canonical(c) == d, new).otherwise(placed)).otherwise(rest)
 
