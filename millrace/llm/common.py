@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -41,14 +40,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def joined_small(left: DataFrame, small: DataFrame, on, how: str, most_rows: int) -> DataFrame:
-    """``left`` joined with ``small``: broadcast only if ``small`` (a written table, so counting
-    is cheap) has at most ``most_rows`` rows, a shuffle join (AQE splits skew) otherwise."""
-    if small.limit(most_rows + 1).count() <= most_rows:
-        small = F.broadcast(small)
-    return left.join(small, on, how)
-
-
 def bucket_of(doc_id, n: int):
     """crc32 of the decimal text of doc_id, modulo n (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -85,16 +76,3 @@ def utf8(text: str | None) -> bytes:
 
 def scan(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def cpu_blocks(items, size_of, most: int):
-    """Cuts a sequence into runs of at most ``most`` units, one item at least."""
-    run, total = [], 0
-    for x in items:
-        if run and total + size_of(x) > most:
-            yield run
-            run, total = [], 0
-        run.append(x)
-        total += size_of(x)
-    if run:
-        yield run

@@ -31,12 +31,12 @@ _LINES = f"filter(split(coalesce(text, ''), '\\\\n'), x -> x rlike '[^{BLANKS}]'
 #: form made.  Sorting (hash, place) puts equal windows side by side; their places, in order, cover
 #: min(5, distance to the next) words each.
 _PLACES = """
-transform(array(array_sort(transform(windows, (x, i) -> struct(x, i)))), s ->
+transform(array(array_sort(transform(__windows, (x, i) -> struct(x, i)))), s ->
   sort_array(filter(transform(s, (e, k) ->
     CASE WHEN (k > 0 AND s[greatest(k - 1, 0)].x = e.x) OR (k < size(s) - 1 AND s[least(k + 1, size(s) - 1)].x = e.x)
          THEN e.i ELSE -1 END), p -> p >= 0)))[0]"""
 _COVERED = f"""
-CASE WHEN size(windows) < 2 OR size(array_distinct(windows)) = size(windows) THEN 0L
+CASE WHEN size(__windows) < 2 OR size(array_distinct(__windows)) = size(__windows) THEN 0L
      ELSE aggregate(transform(array({_PLACES}), p ->
        transform(p, (x, k) -> CASE WHEN k < size(p) - 1 THEN least({WINDOW}, p[least(k + 1, size(p) - 1)] - x) ELSE {WINDOW} END))[0],
        0L, (a, x) -> a + x) END"""
@@ -56,7 +56,7 @@ def measured(docs: DataFrame) -> DataFrame:
     # sequence() would count down for short texts
     h = f"""CASE WHEN size(__w) < {WINDOW} THEN cast(array() as array<bigint>)
             ELSE transform(sequence(0, size(__w) - {WINDOW}), i -> xxhash64({", ".join(f"__w[i + {k}]" for k in range(n + 1))})) END"""
-    w = w.withColumn("windows", F.expr(h))
+    w = w.withColumn("__windows", F.expr(h))
     text = F.coalesce(F.col("text"), F.lit(""))
     return w.select(
         *keep,
