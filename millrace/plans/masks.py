@@ -150,9 +150,6 @@ def mask_card_luhn(spark, d):
     return table(spark, d, "part").select("p_partkey", m.mask_card(_card(), 9).alias("masked"))
 
 
-_KINDS = ["4{}", "55{}", "37{}", "6011{}", "36{}", "9{}"]
-
-
 @query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'visa' WHEN 1 THEN 'mastercard' WHEN 2 THEN 'amex' WHEN 3 THEN 'discover' WHEN 4 THEN 'diners' ELSE 'unknown' END AS card_type FROM part""")
 def card_type_detect(spark, d):
     k = F.col("p_partkey") % 6
