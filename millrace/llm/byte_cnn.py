@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucket_of, scan, utf8
+from millrace.llm.common import bucket_of, scan, utf8, written
 
 WINDOW = 128  # bytes
 WIDTHS = (2, 3, 4)
@@ -18,6 +18,7 @@ FILTERS = 16
 TRAIN_DOCS = 400
 TRAIN_WINDOWS = 6
 EPOCHS = 12
+BROADCAST_LANGUAGES = 10_000
 CHUNK = 1024  # windows worked on at once
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -119,13 +120,18 @@ class ByteCNN:
 
 
 def sample(docs: DataFrame, most: int = TRAIN_DOCS):
-    """At most ``most`` texts a language, those of the lowest hashes (of id and text, so ties are
-    equal rows).  The limit by group runs before the shuffle too, so no group is gathered."""
+    """At most ``most`` texts a language, by hash of id and text (ties are equal rows).
+
+    Languages are counted first, combined within tasks; a document is a candidate with probability
+    2 * most / count, so only about twice what is taken is moved, however large the input is."""
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
-    ranked = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", h.alias("h"))
-    # hash order is settled on slim rows first
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = written(labelled.groupBy("lang").agg(F.count("*").alias("many")), "cnn-languages")
+    few = counts.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    rows = labelled.select("lang", "text", h.alias("h")).join(F.broadcast(counts) if few else counts, "lang")
+    rows = rows.filter(F.col("h").bitwiseAND(F.lit(2**31 - 1)).cast("double") * F.col("many") < F.lit(2.0 * most * 2**31))
     n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return ranked.withColumn("n", n).filter(F.col("n") <= most).orderBy("lang", "n")
+    return rows.withColumn("n", n).filter(F.col("n") <= most).select("lang", "text", "n").orderBy("lang", "n")
 
 
 def train(docs: DataFrame) -> ByteCNN | None:
