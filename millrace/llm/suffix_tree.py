@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -34,16 +36,30 @@ def tokens(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
-def opening(before: bytes | None, word: bytes | None) -> bytes:
-    """The end of the word before, and the first symbols of a word or the end of the text (None)."""
-    tail = bytes([PAD]) if before is None else (b"\r" + before)[-TAIL:]
-    return tail + (b" \n" if word is None else b" " + word[:HEAD] + b" " * (len(word) < HEAD))
+class _Bounded(dict):
+    """``make`` of a key, kept for up to MOST keys."""
+
+    MOST = 100_000
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= self.MOST:
+            self.clear()
+        v = self[key] = self.make(key)
+        return v
+
+
+_tails = _Bounded(lambda w: (bytes([PAD]) + w)[-TAIL:])
+_starts = _Bounded(lambda w: b" " + w[:HEAD] + b" " * (len(w) < HEAD))
 
 
 def openings(words: list[bytes]) -> list[bytes]:
-    """Of every word of a text, and of its end."""
-    w = [None, *words, None]
-    return [opening(x, y) for x, y in zip(w, w[1:])]
+    """Of every word of a text, and of its end: the end of the word before and the first symbols."""
+    before = chain([bytes([PAD])], map(_tails.__getitem__, words))
+    return list(map(add, before, chain(map(_starts.__getitem__, words), [b" \n"])))
 
 
 def _counted(docs: DataFrame, of, name: str) -> DataFrame:
@@ -62,7 +78,7 @@ def _counted(docs: DataFrame, of, name: str) -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 count.update(of(tokens(t.as_py())))
-                if len(count) > 400_000:
+                if len(count) > 150_000:
                     yield rows()
         yield rows()
 
@@ -221,6 +237,26 @@ def grow(counts: DataFrame, share: float = SHARE, divergence: float = DIVERGENCE
     return SuffixTree(keys, rows, np.log10(np.array(dists)), column)
 
 
+class _Numbered:
+    """Numbers for strings, and arrays of what ``make`` works out for lists of new ones; starts anew beyond MOST."""
+
+    MOST = 200_000
+
+    def __init__(self, make):
+        self.make, self.ids, self.values = make, {}, None
+
+    def of(self, strings: list[bytes]):
+        if len(self.ids) > self.MOST:
+            self.ids, self.values = {}, None
+        ids = self.ids
+        new = [s for s in dict.fromkeys(strings) if s not in ids]
+        for a in range(0, max(1, len(new)), 20_000):  # once for an empty list, so that the arrays are there
+            got = self.make(new[a : a + 20_000])
+            ids.update(zip(new[a : a + 20_000], range(len(ids), len(ids) + 20_000)))
+            self.values = got if self.values is None else tuple(np.concatenate(x) for x in zip(self.values, got))
+        return np.fromiter(map(ids.__getitem__, strings), np.int64, len(strings)), self.values
+
+
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """Every row of ``docs`` as (doc_id, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -243,42 +279,41 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     def run(batches):
         model, (hs, cs) = tree.value, known.value
-        cache: dict = {}  # word -> (score, log of count, count or -1, h)
-        heads: dict = {}  # opening -> score
+
+        def counts_of(new: list[bytes]):
+            h = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in new), np.int64, len(new))
+            c = np.full(len(new), -1)
+            if len(hs):
+                i = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
+                c = np.where(hs[i] == h, cs[i], -1)
+            return model.rest(new), np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0.0), c, h
+
+        words = _Numbered(counts_of)
+        heads = _Numbered(lambda new: (model.heads(new),))
         for b in batches:
             rids, ids, texts = b.column(0), b.column(1), b.column(2).to_pylist()
-            for at, part in _parts(texts):
+            for at, part in _parts(texts, 1_000_000):
                 docs_ = [tokens(t) for t in part]
-                if len(cache) > 300_000:
-                    cache.clear()
-                fresh = list({w for d in docs_ for w in d if w not in cache})
-                for a in range(0, len(fresh), 50_000):
-                    new = fresh[a : a + 50_000]
-                    h = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in new), np.int64, len(new))
-                    c = np.full(len(new), -1)
-                    if len(hs):
-                        i = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-                        c = np.where(hs[i] == h, cs[i], -1)
-                    base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0.0)
-                    cache.update(zip(new, zip(model.rest(new).tolist(), base.tolist(), c.tolist(), h.tolist())))
-                opens = [openings(d) for d in docs_]
-                if len(heads) > 1_000_000:
-                    heads.clear()
-                fresh = list({k for o in opens for k in o if k not in heads})
-                for a in range(0, len(fresh), 50_000):
-                    heads.update(zip(fresh[a : a + 50_000], model.heads(fresh[a : a + 50_000]).tolist()))
-                cols: list[list] = [[] for _ in range(5)]
-                for d, o in zip(docs_, opens):
-                    got = [cache[w] for w in d]
-                    rare = Counter(g[3] for g in got if g[2] < 0)
-                    cols[0].append(len(d) + 1)
-                    cols[1].append(len(d) - sum(rare.values()) + (n_texts > 0))
-                    cols[2].append(sum(g[1] for g in got) + end_base)
-                    cols[3].append(sum(g[0] for g in got) + sum(map(heads.__getitem__, o)))
-                    cols[4].append([{"h": k, "tf": m} for k, m in rare.items()])
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int32())])))
-                own = [pa.array(c, k) for c, k in zip(cols, kinds)]
-                yield pa.RecordBatch.from_arrays([rids.slice(at, len(part)), ids.slice(at, len(part)), *own], ["rid", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
+                n = np.fromiter(map(len, docs_), np.int64, len(docs_))
+                own, (rest, base, c, h) = words.of(list(chain.from_iterable(docs_)))
+                first, (head,) = heads.of(list(chain.from_iterable(map(openings, docs_))))
+                ends = np.cumsum(n)
+
+                def sums(x, to, size):
+                    p = np.concatenate([[0.0], np.cumsum(x)])
+                    return p[to] - p[to - size]
+
+                rare = np.flatnonzero(c[own] < 0)
+                doc = np.repeat(np.arange(len(n)), n)[rare]
+                pair, tf = np.unique(np.stack([doc, h[own[rare]]], 1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+                offsets = np.searchsorted(pair[:, 0], np.arange(len(n) + 1)).astype(np.int32)
+                structs = pa.StructArray.from_arrays([pa.array(pair[:, 1], pa.int64()), pa.array(tf.astype(np.int32))], ["h", "tf"])
+                known_ = n - np.bincount(doc, minlength=len(n)) + (n_texts > 0)
+                cols = [
+                    pa.array(n + 1), pa.array(known_, pa.int64()), pa.array(sums(base[own], ends, n) + end_base),
+                    pa.array(sums(rest[own], ends, n) + sums(head[first], ends + np.arange(1, len(n) + 1), n + 1)),
+                    pa.ListArray.from_arrays(pa.array(offsets), structs)]
+                yield pa.RecordBatch.from_arrays([rids.slice(at, len(part)), ids.slice(at, len(part)), *cols], ["rid", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
