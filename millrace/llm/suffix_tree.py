@@ -17,14 +17,14 @@ from millrace.llm.byte_cnn import _parts
 from millrace.llm.common import bucket_of, scan, utf8, written
 
 DEPTH = 7
-#: A context is a candidate if it has at least this share of all symbols: at most 1 / SHARE
-#: contexts of a length, whatever the corpus, so the tree is of bounded size.
-SHARE = 4e-6
+#: A context is a candidate if it was seen so often, whatever the corpus: the tree grows with it.
+LEAST = 2
 #: A context is retained if its next symbols diverge from those of the next shorter one by so many nats in all.
 DIVERGENCE = 12.0
-#: Words with at least 1 / FREQUENT of all tokens, at most so many, are looked up in a broadcast
-#: array; the others' counts are joined.
+#: Words and openings with at least 1 / FREQUENT of all tokens, at most so many of each, are looked up
+#: in broadcast arrays; the others' counts and scores are joined.
 FREQUENT = 500_000
+ROWS = 500_000  # rows that are worked on at once
 PAD = 0x0D  # a blank, like the space and the line feed that stand for the ends of words and texts: no word has them
 #: The first HEAD symbols of a word see the last TAIL bytes of the word before, the space and what
 #: came of the word; the others see their word only.
@@ -140,8 +140,159 @@ def _context_counts(words: DataFrame, opened: DataFrame) -> DataFrame:
     return written(got.groupBy("win").agg(F.sum("c").alias("c")), "pst-contexts")
 
 
+def _mask(d: int) -> np.uint64:
+    """Of a window the symbol and the d symbols before it."""
+    return np.uint64((1 << 8 * (d + 1)) - 1)
+
+
+def _summed(win: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order and the sum of each one's counts."""
+    order = np.argsort(win)
+    win, c = win[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]])) if len(win) else np.zeros(0, np.int64)
+    return win[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def _contexts(win: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows in order: the contexts, where each begins, the sum of each one's counts."""
+    ctx = win >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    return ctx[first], first, np.add.reduceat(c, first)
+
+
+def _kept(d: int, level: tuple, up: tuple, least: float, divergence: float) -> np.ndarray:
+    """Which windows of length d are of a retained context; ``up`` has all those of length d - 1."""
+    (win, c), (uwin, uc) = level, up
+    if not len(win):
+        return np.zeros(0, bool)
+    _, first, n = _contexts(win, c)
+    size = np.diff(np.append(first, len(win)))
+    _, ufirst, un = _contexts(uwin, uc)
+    total = np.repeat(un, np.diff(np.append(ufirst, len(uwin))))
+    i = np.searchsorted(uwin, win & _mask(d - 1))
+    gain = np.add.reduceat(c * (np.log(c / np.repeat(n, size)) - np.log(uc[i] / total[i])), first)
+    return np.repeat((n >= least) & (gain >= divergence), size)
+
+
+def _probabilities(win: np.ndarray, levels: list) -> np.ndarray:
+    """Of each window the probability of its symbol after the longest retained suffix of its context."""
+    p = np.full(len(win), 1 / 256)
+    for d, (keys, c) in enumerate(levels):
+        if not len(keys) or not len(win):
+            continue
+        ctx, first, n = _contexts(keys, c)
+        kinds = np.diff(np.append(first, len(keys)))
+        w = win & _mask(d)
+        i = np.minimum(np.searchsorted(ctx, w >> np.uint64(8)), len(ctx) - 1)
+        j = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+        here = np.where(keys[j] == w, c[j], 0)
+        p = np.where(ctx[i] == w >> np.uint64(8), (here + kinds[i] * p) / (n[i] + kinds[i]), p)
+    return p
+
+
+def _group():
+    """The two last symbols of a context: no context of two symbols or more needs another group's."""
+    return F.shiftrightunsigned("win", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("g")
+
+
+class Tree:
+    """The retained contexts: those of at most one symbol as arrays, at most 2 ** 16 windows, the
+    others as a table (g, d, win, c) of their windows, which is joined to what is to be scored."""
+
+    def __init__(self, counts: DataFrame, least: float = LEAST, divergence: float = DIVERGENCE):
+        one = counts.groupBy(F.col("win").bitwiseAND(F.lit(0xFFFF)).alias("win")).agg(F.sum("c").alias("c")).toPandas()
+        one = _summed(one["win"].to_numpy(np.int64).view(np.uint64), one["c"].to_numpy(np.int64))
+        none = _summed(one[0] & _mask(0), one[1])
+        keep = _kept(1, one, none, least, divergence)
+        self.top = [none, (one[0][keep], one[1][keep])]
+
+        def run(batches):
+            for g, win, c in _whole(batches):
+                up, win = one, win.view(np.uint64)
+                for d in range(2, DEPTH + 1):
+                    level = _summed(win & _mask(d), c)
+                    k = _kept(d, level, up, least, divergence)
+                    at = level[0][k]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array((at >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(np.full(len(at), d, np.int32)),
+                        pa.array(at.view(np.int64)), pa.array(level[1][k])], ["g", "d", "win", "c"])
+                    up = level
+
+        rows = counts.select(_group(), "win", "c").repartition("g").sortWithinPartitions("g")
+        self.table = written(rows.mapInArrow(run, "g int, d int, win long, c long"), "pst-tree")
+
+    def scored(self, strings: DataFrame) -> DataFrame:
+        """(h, score) of distinct words and openings (s, h): log10 of the probability of a word's
+        symbols after the first ones, of an opening's symbols.  Strings without such symbols have no row."""
+        top = self.top
+
+        def places(batches):
+            for b in batches:
+                all_, hs = b.column(0).to_pylist(), b.column(1).to_numpy()
+                for at in range(0, len(all_), 50_000):
+                    part, h = all_[at : at + 50_000], hs[at : at + 50_000]
+                    opening = np.fromiter((b" " in x for x in part), bool, len(part))
+                    for of, ours in ((_rest, ~opening), (_heads, opening)):
+                        mine = np.flatnonzero(ours)
+                        if len(mine):
+                            win, n = of([part[i] for i in mine])
+                            yield pa.RecordBatch.from_arrays([pa.array(win.view(np.int64)), pa.array(np.repeat(h[mine], n))], ["win", "c"])
+
+        def look(batches):
+            held = [np.zeros(0, np.int64)] * 4
+            new, size = [], 0
+
+            def work(held, new):
+                g, d, win, c = (np.concatenate([x, *y]) for x, y in zip(held, zip(*new)))
+                win, levels = win.view(np.uint64), list(top)
+                for k in range(2, DEPTH + 1):
+                    on = d == k
+                    order = np.argsort(win[on])
+                    levels.append((win[on][order], c[on][order]))
+                on = d > DEPTH
+                p = np.log10(_probabilities(win[on], levels))
+                last = (g == g[-1]) & ~on  # this group may go on
+                return [x[last] for x in (g, d, win.view(np.int64), c)], pa.RecordBatch.from_arrays([pa.array(c[on]), pa.array(p)], ["h", "score"])
+
+            for b in batches:
+                new.append([b.column(i).to_numpy() for i in range(4)])
+                size += b.num_rows
+                if size >= ROWS:
+                    held, out = work(held, new)
+                    new, size = [], 0
+                    yield out
+            if size:
+                yield work(held, new)[1]
+
+        rows = strings.select("s", "h").mapInArrow(places, "win long, c long")
+        rows = rows.select(_group(), F.lit(DEPTH + 1).alias("d"), "win", "c").unionByName(self.table)
+        rows = rows.repartition("g").sortWithinPartitions("g", "d")  # a group's contexts before what asks for them
+        return rows.mapInArrow(look, "h long, score double").groupBy("h").agg(F.sum("score").alias("score"))
+
+
+def _whole(batches):
+    """Columns of rows that are clustered by the first one, ROWS or more at once, no group cut."""
+    held, size = [], 0
+    for b in batches:
+        cols = [b.column(i).to_numpy() for i in range(b.num_columns)]
+        if not b.num_rows:
+            continue
+        size += b.num_rows
+        held.append(cols)
+        if size >= ROWS:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if cols[0][0] != cols[0][-1] else 0
+            if cut:
+                yield [x[:cut] for x in cols]
+            held = [[x[cut:] for x in cols]]
+            size = len(held[0][0]) if cut else 0  # of a larger group, ROWS more before the next look
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 class SuffixTree:
-    """Retained contexts by length, and of each the smoothed log10 distribution of the next byte."""
+    """A small tree in memory, against which ``Tree`` is checked: retained contexts by length, and of
+    each the smoothed log10 distribution of the next byte."""
 
     def __init__(self, keys: list[np.ndarray], rows: list[np.ndarray], logs: np.ndarray, column: np.ndarray):
         # a column per byte that was seen; the others have the last one in common
@@ -178,10 +329,11 @@ class SuffixTree:
         return self._sums(_heads(keys)) if keys else np.zeros(0)
 
 
-def grow(counts: DataFrame, share: float = SHARE, divergence: float = DIVERGENCE) -> SuffixTree:
-    """The tree of a table of context counts, length by length; what comes to the driver is bounded by ``share``."""
+def grow(counts: DataFrame, share: float = 0.0, divergence: float = DIVERGENCE) -> SuffixTree:
+    """The tree in memory of a small table of context counts, length by length; a context needs
+    ``share`` of all symbols besides."""
     total = counts.agg(F.sum("c")).first()[0] or 0
-    least = max(2.0, share * total)
+    least = max(LEAST, share * total)
     nxt = F.col("win").bitwiseAND(F.lit(255))
     seen: list[dict] = []  # by length: context -> counts by column
     survivors, column, width = None, np.zeros(256, np.int64), 1
@@ -190,7 +342,7 @@ def grow(counts: DataFrame, share: float = SHARE, divergence: float = DIVERGENCE
         rows = counts.select(ctx.alias("ctx"), nxt.alias("x"), "c")
         if d:
             rows = rows.withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)))
-            rows = rows.join(F.broadcast(survivors), "up", "left_semi")  # at most 1 / share rows
+            rows = rows.join(F.broadcast(survivors), "up", "left_semi")
         by = rows.groupBy("ctx", "x").agg(F.sum("c").alias("c"))
         keep = by.groupBy("ctx").agg(F.sum("c").alias("n"), F.collect_list("x").alias("x"), F.collect_list("c").alias("c")).filter(F.col("n") >= least)
         got = keep.select("ctx", "x", "c").toPandas()
@@ -270,60 +422,76 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     s = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (s["n"] or 0) + n_texts, s["v"] + (n_texts > 0)
     opened = _counted(train, openings, "pst-openings")
-    tree = spark.sparkContext.broadcast(grow(_context_counts(words, opened)))
+    tree = Tree(_context_counts(words, opened))
     least = max(1.0, n / FREQUENT)
-    often = words.filter(F.col("c") >= least).select("h", "c").toPandas().sort_values("h")  # FREQUENT rows at most
-    known = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int64)))
+    often = words.filter(F.col("c") >= least).select(F.col("word").alias("s"), "h", "c", F.lit(False).alias("opening"))
+    often = written(often.unionByName(opened.filter(F.col("c") >= least).select(F.col("word").alias("s"), "h", "c", F.lit(True).alias("opening"))), "pst-often")
+    got = often.join(tree.scored(often), "h", "left").select("h", "c", "opening", F.coalesce("score", F.lit(0.0)).alias("score")).toPandas().sort_values("h")  # 2 * FREQUENT rows at most
+    known = [(x["h"].to_numpy(np.int64), x["c"].to_numpy(np.int64), x["score"].to_numpy(float)) for x in (got[~got["opening"].astype(bool)], got[got["opening"].astype(bool)])]
+    known = spark.sparkContext.broadcast(known)
     whole = float(np.log10(n + v + 1))
     end_base = float(np.log10(n_texts + 1))
 
     def run(batches):
-        model, (hs, cs) = tree.value, known.value
-
-        def counts_of(new: list[bytes]):
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in new), np.int64, len(new))
-            c = np.full(len(new), -1)
-            if len(hs):
-                i = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-                c = np.where(hs[i] == h, cs[i], -1)
-            return model.rest(new), np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0.0), c, h
-
-        words = _Numbered(counts_of)
-        heads = _Numbered(lambda new: (model.heads(new),))
+        def found(which):
+            hs, cs, scores = known.value[which]
+
+            def of(new: list[bytes]):
+                h = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in new), np.int64, len(new))
+                c, p = np.full(len(new), -1), np.zeros(len(new))
+                if len(hs):
+                    i = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
+                    hit = hs[i] == h
+                    c, p = np.where(hit, cs[i], -1), np.where(hit, scores[i], 0.0)
+                return h, c, p, np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0.0)
+
+            return _Numbered(of)
+
+        words, heads = found(0), found(1)
         for b in batches:
             rids, ids, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for at, part in _parts(texts, 1_000_000):
                 docs_ = [tokens(t) for t in part]
                 n = np.fromiter(map(len, docs_), np.int64, len(docs_))
-                own, (rest, base, c, h) = words.of(list(chain.from_iterable(docs_)))
-                first, (head,) = heads.of(list(chain.from_iterable(map(openings, docs_))))
-                ends = np.cumsum(n)
+                flat, opens = list(chain.from_iterable(docs_)), list(chain.from_iterable(map(openings, docs_)))
+                own, (h, c, rest, base) = words.of(flat)
+                first, (oh, oc, head, _) = heads.of(opens)
+                ends, nth = np.cumsum(n), np.arange(len(n))
 
                 def sums(x, to, size):
                     p = np.concatenate([[0.0], np.cumsum(x)])
                     return p[to] - p[to - size]
 
-                rare = np.flatnonzero(c[own] < 0)
-                doc = np.repeat(np.arange(len(n)), n)[rare]
-                pair, tf = np.unique(np.stack([doc, h[own[rare]]], 1), axis=0, return_counts=True) if len(rare) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                offsets = np.searchsorted(pair[:, 0], np.arange(len(n) + 1)).astype(np.int32)
-                structs = pa.StructArray.from_arrays([pa.array(pair[:, 1], pa.int64()), pa.array(tf.astype(np.int32))], ["h", "tf"])
+                # of the rarer words and openings, each once a text
+                w, o = np.flatnonzero(c[own] < 0), np.flatnonzero(oc[first] < 0)
+                doc = np.repeat(nth, n)[w]
+                code = np.concatenate([doc << 33 | own[w], np.repeat(nth, n + 1)[o] << 33 | 1 << 32 | first[o]])
+                code, i, tf = np.unique(code, return_index=True, return_counts=True)
+                is_word = i < len(w)
+                hash_ = np.concatenate([h[own[w]], oh[first[o]]])[i]
+                strings = [flat[w[k]] if a else opens[o[k - len(w)]] for k, a in zip(i.tolist(), is_word.tolist())]
+                offsets = np.searchsorted(code >> 33, np.arange(len(n) + 1)).astype(np.int32)
+                structs = pa.StructArray.from_arrays([pa.array(hash_, pa.int64()), pa.array(strings, pa.binary()), pa.array(tf.astype(np.int32))], ["h", "s", "tf"])
                 known_ = n - np.bincount(doc, minlength=len(n)) + (n_texts > 0)
                 cols = [
                     pa.array(n + 1), pa.array(known_, pa.int64()), pa.array(sums(base[own], ends, n) + end_base),
-                    pa.array(sums(rest[own], ends, n) + sums(head[first], ends + np.arange(1, len(n) + 1), n + 1)),
+                    pa.array(sums(rest[own], ends, n) + sums(head[first], ends + nth + 1, n + 1)),
                     pa.ListArray.from_arrays(pa.array(offsets), structs)]
                 yield pa.RecordBatch.from_arrays([rids.slice(at, len(part)), ids.slice(at, len(part)), *cols], ["rid", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    rows = written(rows.mapInArrow(run, f"rid long, doc_id {kind}, n_tokens long, known long, logs double, score double, rare array<struct<h: long, tf: int>>"), "pst-rows")
-    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.h", "r.tf").join(words.filter(F.col("c") < least).select("h", "c"), "h")
-    rare = rare.groupBy("rid").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("add"))
-    out = rows.drop("rare").join(rare, "rid", "left")
+    rows = written(rows.mapInArrow(run, f"rid long, doc_id {kind}, n_tokens long, known long, logs double, score double, rare array<struct<h: long, s: binary, tf: int>>"), "pst-rows")
+    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.h", "r.s", "r.tf")
+    strings = rare.groupBy("h").agg(F.min("s").alias("s"))
+    values = tree.scored(strings).unionByName(words.filter(F.col("c") < least).select("h", "c"), allowMissingColumns=True)
+    values = values.groupBy("h").agg(F.sum("score").alias("p"), F.sum("c").alias("c"))
+    more = rare.drop("s").join(values, "h").groupBy("rid").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("add"), F.sum(F.col("tf") * F.col("p")).alias("p"))
+    out = rows.drop("rare").join(more, "rid", "left")
     return out.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score")
+        (F.col("logs") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("score") + F.coalesce("p", F.lit(0.0))).alias("score"))
 
 
 def op8_suffix_tree(spark, sf_dir: str) -> DataFrame:

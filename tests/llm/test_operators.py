@@ -344,6 +344,32 @@ def test_tree_is_a_distribution(spark):
     assert len(tree.logs) > 5 and np.allclose(sums, 1, atol=1e-3)
 
 
+def test_tree_grows_with_the_corpus(spark, monkeypatch):
+    small = [(i, "zažívá zvláštní zážitek " * 8) for i in range(5)]
+    count = lambda rows: st._context_counts(st.word_counts(rows), st._counted(rows, st.openings, "t"))
+    df = spark.createDataFrame(small, "doc_id long, text string")
+    counts = count(df)
+    # unrelated text of 1e9 symbols
+    more = counts.unionByName(spark.createDataFrame([(int.from_bytes(b"BCDEFGH" + bytes([x]), "big"), 10**8) for x in range(65, 75)], "win long, c long"))
+    deep = lambda tree: {(r["d"], r["win"], r["c"]) for r in tree.table.collect() if r["d"] > 1}
+    a, b = deep(st.Tree(counts)), deep(st.Tree(more))
+    assert a and a <= b
+    assert sum(map(len, st.grow(more).keys)) >= sum(map(len, st.grow(counts).keys))
+    # scores are those of the tree in memory, if all strings are joined and in small portions too
+    words = sorted({w for _, t in [*small, (0, "zvláště nežívá the cat")] for w in st.tokens(t)})
+    tree = st.grow(more)
+    keys = sorted({k for _, t in small for k in st.openings(st.tokens(t))})
+    strings = spark.createDataFrame([(bytearray(s), i) for i, s in enumerate(words + keys)], "s binary, h long")
+    want = dict(enumerate([*tree.rest(words), *tree.heads(keys)]))
+    for rows_ in (st.ROWS, 3):
+        monkeypatch.setattr(st, "ROWS", rows_)
+        got = {r["h"]: r["score"] for r in st.Tree(more).scored(strings).collect()}
+        assert all(got.get(i, 0.0) == pytest.approx(v, abs=1e-3) for i, v in want.items())
+    plain = {r["doc_id"]: r["score"] for r in st.score(df, df).collect()}
+    monkeypatch.setattr(st, "FREQUENT", 1)  # every string is joined
+    assert {r["doc_id"]: r["score"] for r in st.score(df, df).collect()} == pytest.approx(plain)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
     from millrace.llm.common import written
