@@ -28,7 +28,8 @@ MINIMA = 3
 AGREE = 6
 #: Buckets of more texts are worked on in salted parts whose leaders then meet.
 SALTED = 2000
-LONG = 20_000  # words from which an alignment goes from anchor to anchor
+LONG = 20_000  # words from which an alignment from anchor to anchor is tried first
+FEW, MASKS = 8, 1 << 31  # places up to which a word's mask is not kept, bits of masks that are
 #: Texts of at most so many candidates are picked by a broadcast of their names, more by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -86,14 +87,31 @@ def _band(a: np.ndarray, b: np.ndarray, most: int) -> int:
     top, side = 1 << (width - 1), 1 << (width - 2)
     where: dict = {}
     for i, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | (1 << i)
+        where.setdefault(x, []).append(i)
+    masks: dict = {}  # of words with many places: [where the mask begins, mask, places in it so far]
     vp, vn = (full << (width - most - 1)) & full, 0
     dist, start = most, most + 1 - width
     turn = len(a) - most
     for i, x in enumerate(b.tolist()):
-        m = where.get(x, 0)
-        if m:
-            m = (m << -start if start < 0 else m >> start) & full
+        at, m = where.get(x), 0
+        if at is None:
+            pass
+        elif len(at) <= FEW:
+            for k in at:
+                if start <= k < start + width:
+                    m |= 1 << (k - start)
+        else:
+            got = masks.get(x)
+            if got is None:
+                if len(masks) * width > MASKS:
+                    masks.clear()
+                got = masks[x] = [start, 0, bisect_left(at, start)]
+            m, n = got[1] >> (start - got[0]), got[2]
+            while n < len(at) and at[n] < start + width:
+                if at[n] >= start:
+                    m |= 1 << (at[n] - start)
+                n += 1
+            got[:] = start, m, n
         d0 = ((((m & vp) + vp) & full) ^ vp) | m | vn
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
@@ -122,7 +140,8 @@ def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Word edits between two texts if at most ``most`` (else some number above it).  Texts of over
-    ``LONG`` words are aligned between shingles that each has just once: those edits are an upper bound."""
+    ``LONG`` words are first aligned between shingles that each has just once.  Those edits are an upper
+    bound, which is given if it is at most ``most``; otherwise the band decides, growing from a small one."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > most:
@@ -133,6 +152,23 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     most = min(most, len(a))
     if len(a) <= LONG:
         return _band(a, b, most)
+    bound = _anchored(a, b, most)
+    if bound <= most:
+        return bound
+    words, n = np.unique(np.concatenate([a, b]), return_inverse=True)
+    more = np.bincount(n[: len(a)], minlength=len(words)) - np.bincount(n[len(a) :], minlength=len(words))
+    least = int(np.maximum(more, 0).sum())  # words that have no partner, a lower bound
+    if least > most:
+        return least
+    width = min(most, max(64, 2 * least))
+    while (d := _band(a, b, width)) > width and width < most:
+        width = min(most, 4 * width)
+    return d
+
+
+def _anchored(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """An upper bound of the edits, from the longest chain of shingles that each text has just once; needs
+    len(a) >= len(b).  Some number above ``most`` if it isn't at most that."""
     at = []
     for x in (a, b):
         i = np.arange(max(0, len(x) - SHINGLE + 1))

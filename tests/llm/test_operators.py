@@ -179,6 +179,29 @@ def test_banded_alignment():
         assert (d == g) if d <= most else g > most
 
 
+def test_long_repetitive_texts_align(monkeypatch):
+    a = np.array([int(w[1:]) for w in LONG.split()], np.uint32)
+    b, c = a.copy(), np.insert(a, 60_000, [5000, 5001])
+    b[[1000, 100_000]] = 5000
+    c[90_000] = 5002
+    assert om.edits(a, b, 24_000) == 2 and om.similar(a, b) and om.edits(b, c, 24_000) == 5
+    monkeypatch.setattr(om, "LONG", 10)
+    for few in (0, 8):
+        monkeypatch.setattr(om, "FEW", few)
+        monkeypatch.setattr(om, "MASKS", few * 100)
+        test_banded_alignment_decides()
+
+
+def test_banded_alignment_decides():
+    r = random.Random(6)
+    for _ in range(300):
+        k = r.choice([2, 6, 60])
+        a = [r.randrange(k) for _ in range(r.randint(1, 90))]
+        b = [x if r.random() < 0.9 else r.randrange(k) for x in a if r.random() < 0.95]
+        most = int(0.2 * max(len(a), len(b)))
+        assert (om.edits(np.array(a, np.uint32), np.array(b, np.uint32), most) <= most) == (lev(a, b) <= most)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(f"{r.randrange(200):03d}", f"{r.randrange(200):03d}") for _ in range(150)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
