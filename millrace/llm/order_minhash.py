@@ -286,8 +286,8 @@ def _leaders(rows: DataFrame, salted: bool) -> DataFrame:
 
 
 def candidates(known: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of text names to align: within a bucket never all pairs, but each text
-    with the leaders it agrees with."""
+    """Distinct pairs (a, b) of text names to align first: within a bucket not all pairs, but each text
+    with the leaders it agrees with.  What they leave open, ``further`` gives."""
     by = known.select("node", F.explode("keys").alias("key"))
     keys = by.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     met = by.join(keys, "key").join(known.select("node", "n", "least"), "node")
@@ -300,6 +300,45 @@ def candidates(known: DataFrame) -> DataFrame:
     return written(pairs.distinct(), "omh-pairs")
 
 
+def further(known: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) still to align after the leaders' ones: texts of one bucket that agree, as
+    leaders and theirs do, but are in different classes.  With them every agreeing pair of a
+    bucket has been aligned or is linked already."""
+    by = known.select("node", F.explode("keys").alias("key"))
+    many = by.groupBy("key").agg(F.count("*").alias("many")).filter("many > 2")  # two have met
+    by = by.join(many.select("key"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = by.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    met = by.join(open_, "key").join(known.select("node", "n", "least"), "node").select("key", "node", "n", "least", "root")
+
+    def run(batches):
+        group, names, used = None, [], 0
+        ids: dict = {}
+        sizes, mins, cls = np.zeros(64), np.zeros((64, SKETCHES), np.uint16), np.zeros(64, np.int64)
+        for b in batches:
+            out = [[], []]
+            for key, node, n, least, root in zip(*[b.column(i).to_pylist() for i in range(5)]):
+                if key != group:
+                    group, names, used, ids = key, [], 0, {}
+                m, r = np.frombuffer(least, np.uint16), ids.setdefault(root, len(ids))
+                s = sizes[:used]
+                near = np.flatnonzero((cls[:used] != r) & (s >= SIMILARITY * n) & (n >= SIMILARITY * s))
+                near = near[(mins[near] == m).sum(1) >= AGREE]
+                out[0] += [names[j] for j in near.tolist()]
+                out[1] += [node] * len(near)
+                if used == len(sizes):
+                    sizes, mins, cls = (np.concatenate([x, np.zeros_like(x)]) for x in (sizes, mins, cls))
+                sizes[used], mins[used], cls[used] = n, m, r
+                names.append(node)
+                used += 1
+                if len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.binary()) for o in out], ["a", "b"])
+                    out = [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.binary()) for o in out], ["a", "b"])
+
+    got = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a binary, b binary").distinct()
+    return written(got.join(done, ["a", "b"], "left_anti"), "omh-further")
+
+
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose texts align.  Only texts of candidates are moved, as 32-bit word hashes."""
     nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "omh-nodes")
@@ -341,8 +380,13 @@ def classes(docs: DataFrame) -> DataFrame:
     than five words (empty ones too) are only equal or not.  A class without a doc_id has a null
     class_id.  Extra columns play no part; repeated rows are in one class."""
     texts = named(docs.select("doc_id", "text"))
-    links = verified(texts, candidates(sketches(texts)))
+    known = sketches(texts)
+    pairs = candidates(known)
+    links = written(verified(texts, pairs), "omh-links")
     roots = components(links)
+    more = further(known, roots, pairs)
+    if not more.isEmpty():
+        roots = components(links.unionByName(verified(texts, more)))
     ids = written(texts.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "omh-ids")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = ids.join(least, "root").select("doc_id", "node", "root", "class_id")

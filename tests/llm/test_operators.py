@@ -241,6 +241,38 @@ def test_near_duplicates(spark, edge, empty, wide, monkeypatch):
     assert om.dedup(wide).columns == wide.columns and om.dedup(edge).count() == 6 and om.dedup(empty).count() == 0
 
 
+def test_near_copies_behind_a_shared_passage(spark, monkeypatch):
+    r = random.Random(8)
+    docs = []
+    for f in range(6):  # families of texts with a passage of 70 % in common, three near copies of each
+        shared = [f"s{f}x{i}" for i in range(70)]
+        for g in range(5):
+            own = shared + [f"o{f}x{g}x{i}" for i in range(30)]
+            for _ in range(3):
+                w = list(own)
+                w[r.randrange(100)] = "edit"
+                docs.append(w)
+    r.shuffle(docs)
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if lev(docs[i], docs[j]) <= 20:
+                root = [root[j] if x == root[i] else x for x in root]
+    want = sorted(((i, min(j for j in range(len(docs)) if root[j] == root[i])) for i in range(len(docs))), key=repr)
+    assert len({c for _, c in want}) == 30
+    sketch = om.sketch
+
+    def single(h):  # one bucket for all, so that no other one makes up for it
+        keys, least = sketch(h)
+        return np.zeros(1, np.uint64), least
+
+    monkeypatch.setattr(om, "sketch", single)
+    df = spark.createDataFrame([(i, " ".join(w), "", "", 0) for i, w in enumerate(docs)], SCHEMA)
+    for salted in (2000, 4):
+        monkeypatch.setattr(om, "SALTED", salted)
+        assert rows(om.classes(df).select("doc_id", "class_id")) == want
+
+
 # 6 and 9
 
 
