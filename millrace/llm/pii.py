@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -19,26 +20,67 @@ KNOWN = 100_000  # surrogates a task remembers
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE_M = r"Mr|Mister|Herrn?|Monsieur|Señor|Sr|Don|Signor"
 _TITLE_F = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Signora"
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zà-öø-ÿßа-яёα-ωάέήίόύώς]+"
+def _capitals() -> str:
+    """All capital letters, as ranges of a character class."""
+    at = [i for i in range(0x250) if chr(i).isupper()] + [i for i in range(0x250, 0x30000) if chr(i).isupper() or chr(i).istitle()]
+    out, first = [], None
+    for i, x in enumerate(at):
+        first = x if first is None else first
+        if i + 1 == len(at) or at[i + 1] != x + 1:
+            out.append(f"{chr(first)}-{chr(x)}")
+            first = None
+    return "[" + "".join(out) + "]"
+
+
+_UP = _capitals()
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
+#: A capital and letters of any script, inner capitals and apostrophes (but no possessive 's), to the
+#: word's end; or an initial.
+_CAP = rf"(?:{_UP}\.|{_UP}(?:{_LETTER}|['’](?!s(?!\w))(?={_LETTER}))*(?![\w\u0300-\u036f]))"
+_PARTICLES = "van von der den dem de del della dello degli di da dal das dos du des la le los las ten ter zu zum zur af av al el bin ibn y e".split()
+_PART = rf"(?:(?:{'|'.join(_PARTICLES)}) |[dl]['’](?={_UP}))"
+_WHO = rf"{_PART}{{0,3}}{_CAP}(?:[ \-]{_PART}{{0,3}}{_CAP}){{0,3}}"
+#: Given names after which a capital word is a surname; those that are also places or common words aren't listed.
+_GIVEN = (
+    "James John Robert Michael William David Richard Joseph Thomas Christopher Daniel Matthew Anthony Andrew Joshua Kenneth Kevin Brian Timothy Ronald "
+    "Jason Edward Jeffrey Ryan Jacob Nicholas Gary Eric Jonathan Stephen Steven Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Peter Paul "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda "
+    "Melissa Deborah Stephanie Rebecca Laura Helen Sharon Cynthia Kathleen Amy Angela Anna Emma Olivia Nicole Samantha Katherine Christine Rachel Janet Maria Alice Jane "
+    "Hans Klaus Jürgen Wolfgang Günter Dieter Stefan Andreas Thorsten Matthias Ulrich Heinz Karl Friedrich Johannes Lukas Felix Ursula Monika Petra Sabine Ingrid Heike Katharina Birgit "
+    "Jean Pierre Jacques François Philippe Michel Nicolas Julien Antoine Marie Nathalie Isabelle Sylvie Françoise Hélène Amélie Céline Camille "
+    "José Juan Carlos Luis Miguel Pedro Javier Fernando Alejandro Manuel Jorge Carmen Ana Isabel Lucía Pilar Rosario Giovanni Giuseppe Marco Francesco Luca Paolo Giulia Chiara Francesca "
+    "Jan Łukasz Piotr Krzysztof Andrzej Katarzyna Agnieszka Jiří Petr Pavel Tomáš Иван Сергей Александр Дмитрий Алексей Андрей Анна Мария Ольга Елена Татьяна Наталья").split()
+_NAMED = rf"(?:{'|'.join(sorted(set(_GIVEN), key=len, reverse=True))})"
+_H = "[0-9A-Fa-f]{1,4}"
+_KEY = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|sk-|xox[abprs]-|AIza|hf_|npm_"
 ENTITY = re.compile(
     rf"(?P<email>[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
     rf"|(?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
     rf"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?![0-9A-Za-z])"
+    rf"|(?<![\w\-])(?:{_KEY})[A-Za-z0-9_\-]{{16,}}"
     rf"|(?<=[\"'])(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{{20,}}(?=[\"']))"
     rf"|(?P<card>(?<!\d)(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}})(?!\d))"
     rf"|(?P<ssn>(?<![\d\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\d\-]))"
+    rf"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?)(?![\w:]))"
     rf"|(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))"
     rf"|(?P<phone>\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{1,4}}\)[ .\-]?)?[0-9](?:[ .\-]?[0-9]){{5,12}}(?!\d)"
-    rf"|\([0-9]{{2,4}}\) ?[0-9]{{3,4}}[ .\-][0-9]{{3,4}}(?!\d)|(?<![\d.\-])[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}(?!\d))"
-    rf"|(?P<name>(?<!\w)(?:(?P<m>{_TITLE_M})|(?P<f>{_TITLE_F})|Dr|Prof)\.? (?P<who>{_CAP}(?:[ \-]{_CAP}){{0,3}}))"
+    rf"|\([0-9]{{2,4}}\) ?[0-9]{{3,4}}[ .\-][0-9]{{3,4}}(?!\d)|(?<![\d.\-])[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}(?!\d)"
+    rf"|(?<![\w.\-+/])0[1-9](?:[ .\-][0-9]{{2}}){{4}}(?!\d)|(?<![\w.\-+/])\(?0[1-9][0-9]{{1,4}}\)?[ /\-][0-9]{{3,4}}[ \-][0-9]{{3,4}}(?!\d)"
+    rf"|(?<![\w.\-+/])\(?0[1-9][0-9]{{1,4}}\)?[ /][0-9]{{6,8}}(?!\d))"
+    rf"|(?P<name>(?<!\w)(?:(?P<m>{_TITLE_M})|(?P<f>{_TITLE_F})|Dr|Prof)\.? (?P<who>{_WHO})"
+    rf"|(?<!\w)(?P<given>{_NAMED}(?: {_UP}\.)?[ \-]{_WHO}))"
 )
 #: Texts without any of these have nothing to find.
-HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLE_M}|{_TITLE_F}|Dr|Prof)\.? [^\W\d_]")
+HINT = re.compile(rf"[0-9@]|(?:{_KEY})[A-Za-z_\-]{{16}}|::|(?<!\w)(?:(?:{_TITLE_M}|{_TITLE_F}|Dr|Prof)\.? [^\W\d_]|{_NAMED}[ \-])")
+#: Calling codes of one and two digits; all others have three.
+_CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3}")
 
 #: Characters that may stand for each other, by script and by kind; the place in the string is the digit.
 _CLASSES = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñðþßýÿ",
-    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς",
+    "āăąēĕėęěīĭįōŏőœūŭůűų", "ćĉċčďđĝğġģĥħĵķĺļľłńņňŕŗřśŝşšţťŧŵŷźżž", "іїєў", "ґђѓјљњћќџ",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ",  # ς only ends a word: in capitals it would be another σ
+
 )
 _AT = {c: (alphabet, i) for alphabet in _CLASSES for i, c in enumerate(alphabet)}
 _HEX = {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
@@ -103,22 +145,24 @@ class Surrogates:
     def digits(self, s: str, kind: str) -> str:
         return str(self.number(int(s), 10 ** len(s), f"{kind}|{len(s)}")).zfill(len(s)) if s else s
 
-    def of(self, kind: str, s: str, gender: str = "") -> str:
+    def of(self, kind: str, s: str) -> str:
         """The surrogate of an entity as it is written."""
-        k = (kind, s, gender)
+        k = (kind, s)
         got = self.known.get(k)
         if got is None:
             if len(self.known) >= KNOWN:
                 self.known.clear()
-            got = self.known[k] = getattr(self, f"_{kind}")(s, gender)
+            got = self.known[k] = getattr(self, f"_{kind}")(s)
         return got
 
-    def _email(self, s, _):
+    def _email(self, s):
         local, _, domain = s.lower().rpartition("@")
         name, _, top = domain.rpartition(".")
         return _cased(s, f"{self.text(local, 'local')}@{self.text(name, 'domain')}.{top}")
 
-    def _secret(self, s, _):
+    def _secret(self, s):
+        if prefix := re.match(_KEY, s):  # tells the kind of key
+            return _cased(s, self.text(s.lower(), "secret", fixed=frozenset(range(prefix.end()))))
         hexa = all(c in _HEX for c in s.lower())
         return _cased(s, self.text(s.lower(), "hex" if hexa else "secret", _HEX if hexa else _AT))
 
@@ -126,7 +170,7 @@ class Surrogates:
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in s)
 
-    def _card(self, s, _):
+    def _card(self, s):
         d = "".join(c for c in s if c.isdigit())
         if luhn(d):
             body = self.digits(d[:-1], "card")
@@ -136,23 +180,36 @@ class Surrogates:
             new = self.digits(new, "cardlike")
         return self._digits_of(s, new)
 
-    def _ssn(self, s, _):
+    def _ssn(self, s):
         return self._digits_of(s, self.digits(s.replace("-", ""), "ssn"))
 
-    def _phone(self, s, _):
+    def _phone(self, s):
+        """One number has one surrogate, whatever its separators: the calling code or trunk 0 stays."""
         d = "".join(c for c in s if c.isdigit())
-        code = re.match(r"\+(\d{1,3})[ .\-(]", s)  # a country code that is set off stays
-        n = len(code[1]) if code else (1 if s[0] == "+" else 0)
-        return self._digits_of(s, d[:n] + self.digits(d[n:], "phone" + d[:n]))
-
-    def _ip(self, s, _):
+        if s[0] == "+":
+            n = len(_CODE.match(d)[0])
+            code = d[:n]
+            n += "(0)" in s and d[n] == "0"  # the trunk 0 that isn't dialled
+        else:
+            n = int(d[0] == "0")
+            code = "0" if n else "1"  # ten digits of a +1 number
+        return self._digits_of(s, d[:n] + self.digits(d[n:], "phone" + code))
+
+    def _ip6(self, s):
+        try:
+            n = int(ipaddress.IPv6Address(s))
+        except ValueError:
+            return s
+        return str(ipaddress.IPv6Address(self.number(n, 1 << 128, "ip6")))
+
+    def _ip(self, s):
         n = 0
         for part in s.split("."):
             n = n << 8 | int(part)
         n = self.number(n, 1 << 32, "ip")
         return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
 
-    def _iban(self, s, _):
+    def _iban(self, s):
         flat = s.replace(" ", "")
         if _mod97(flat) != 1:
             return self.text(s.lower(), "ibanlike", fixed=frozenset({0, 1})).upper()
@@ -160,20 +217,16 @@ class Surrogates:
         new = iter(f"{flat[:2]}{98 - _mod97(flat[:2] + '00' + body):02d}{body}")
         return "".join(c if c == " " else next(new) for c in s)
 
-    def _name(self, s, gender):
-        """Word by word, so that a surname alone still refers to the same person.  A given name keeps
-        its last letter, which in most languages marks gender."""
-        words = re.split(r"([ \-])", s)
-        last = len(words) - 1
-        out = []
-        for i, w in enumerate(words):
-            if i % 2:
-                out.append(w)
-            elif i == last:
-                out.append(_cased(w, self.text(w.lower(), "surname")))
-            else:
-                out.append(_cased(w, self.text(w.lower(), "given" + gender, fixed=frozenset({len(w) - 1}))))
-        return "".join(out)
+    def _name(self, s):
+        """Word by word and wherever the word stands, so that a given name or a surname alone still refers
+        to the same person.  The last letter stays, which in most languages marks gender."""
+        return "".join(w if i % 2 or w in _PARTICLES else self._word(w) for i, w in enumerate(re.split(r"([ \-])", s)))
+
+    def _word(self, w):
+        low = w.lower()
+        last = len(low) - 1
+        keep = frozenset({last}) if any(c in _AT for c in low[:last]) and last > 1 else frozenset()
+        return _cased(w, self.text(low, "name", fixed=keep))
 
 
 def _cased(like: str, s: str) -> str:
@@ -192,23 +245,45 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in flat)) % 97
 
 
+_KINDS = ("email", "iban", "secret", "card", "ssn", "ip6", "ip", "phone")
+
+
+def _is_ip6(s: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 def entities(text: str | None):
-    """(kind, start, end, gender) of what is found, in order; kinds are tried in the order of ``ENTITY``."""
+    """(kind, start, end) of what is found, in order; kinds are tried in the order of ``ENTITY``.  Words of
+    a name are found wherever else in the text they stand."""
     if text is None or not HINT.search(text):
-        return
+        return []
+    found, words = [], set()
     for m in ENTITY.finditer(text):
-        kind = m.lastgroup if m.lastgroup in ("email", "iban", "secret", "card", "ssn", "ip", "phone") else "name"
+        kind = next((k for k in _KINDS if m[k] is not None), "name")
+        if kind == "ip6" and not _is_ip6(m[0]):
+            continue
+        a, z = m.span("who" if m["who"] else "given") if kind == "name" else m.span()
+        found.append((kind, a, z))
         if kind == "name":
-            yield kind, *m.span("who"), "m" if m["m"] else "f" if m["f"] else ""
-        else:
-            a, z = m.span()
-            yield kind, a, z, ""
+            words.update(w for w in re.split(r"[ \-]", text[a:z]) if len(w) > 2 and w not in _PARTICLES)
+    if not words:
+        return found
+    again = re.compile(r"(?<![\w])(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?![\w\u0300-\u036f])")
+    out, at = [], 0
+    for e in [*found, (None, len(text), len(text))]:
+        out += [("name", *m.span()) for m in again.finditer(text, at, e[1])]
+        out.append(e)
+        at = e[2]
+    return out[:-1]
 
 
 def replaced(text: str | None, s: Surrogates) -> tuple[str | None, int]:
     out, at, n = [], 0, 0
-    for kind, a, z, gender in entities(text):
-        out += [text[at:a], s.of(kind, text[a:z], gender)]
+    for kind, a, z in entities(text):
+        out += [text[at:a], s.of(kind, text[a:z])]
         at, n = z, n + 1
     return ("".join([*out, text[at:]]), n) if n else (text, 0)
 
@@ -240,29 +315,53 @@ def pseudonymize(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
     return docs.mapInArrow(run, schema + (f", `{count}` long" if count else ""))
 
 
+def _plain(kind: str, s: str) -> str:
+    """What an entity refers to, however it is written."""
+    if kind == "phone":
+        d = "".join(c for c in s if c.isdigit())
+        if s[0] == "+":
+            n = len(_CODE.match(d)[0])
+            return "+" + d[:n] + d[n + ("(0)" in s and d[n] == "0") :]
+        return d if d[0] == "0" else "+1" + d
+    if kind in ("card", "ssn"):
+        return "".join(c for c in s if c.isdigit())
+    return str(ipaddress.IPv6Address(s)) if kind == "ip6" else s.lower().replace(" ", "")
+
+
 def ledger(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, gender, original, surrogate), each once: what was found and what stands for it.  This table
-    undoes the replacement, so it is as secret as the key."""
+    """(kind, original, surrogate, o, s), each once: what was found and what stands for it, names by the
+    word; o and s are both without case and separators.  This table undoes the replacement, so it is as
+    secret as the key."""
 
     def run(batches):
         s = Surrogates(key)
         for b in batches:
             for _, part in _parts(b.column(0).to_pylist()):
-                got = {(k, g, t[a:z]) for t in part for k, a, z, g in entities(t)}
-                rows = [(k, g, o, s.of(k, o, g)) for k, g, o in sorted(got)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows) if rows else ([], [], [], []))], ["kind", "gender", "original", "surrogate"])
+                got = {(k, o) for t in part for k, a, z in entities(t) for o in (re.split(r"[ \-]", t[a:z]) if k == "name" else [t[a:z]]) if o not in _PARTICLES}
+                rows = [(k, o, n, _plain(k, o), _plain(k, n)) for k, o in sorted(got) for n in [s.of(k, o)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows) if rows else [()] * 5)], ["kind", "original", "surrogate", "o", "s"])
 
-    return docs.select("text").mapInArrow(run, "kind string, gender string, original string, surrogate string").distinct()
+    return docs.select("text").mapInArrow(run, "kind string, original string, surrogate string, o string, s string").distinct()
 
 
 def collisions(book: DataFrame) -> DataFrame:
-    """The check of a ledger: surrogates that stand for more than one original (case and separators
-    aside), and originals that kept their form.  None is expected; both are sums by group."""
-    plain = lambda c: F.when(F.col("kind").isin("phone", "card", "ssn"), F.regexp_replace(c, "[^0-9]", "")).otherwise(F.lower(F.regexp_replace(c, " ", "")))
-    b = book.select("kind", "gender", plain("original").alias("o"), plain("surrogate").alias("s")).distinct()
-    many = b.groupBy("kind", "gender", "s").agg(F.count("*").alias("n")).filter("n > 1").select("kind", "gender", "s", F.lit("shared").alias("why"))
-    return many.unionByName(b.filter("o = s").select("kind", "gender", "s", F.lit("unchanged").alias("why")))
+    """The check of a ledger: surrogates that stand for more than one original, originals that have more
+    than one surrogate, and originals that kept their form though they have a letter or digit to change.
+    None is expected; all are sums by group."""
+    b = book.select("kind", "o", "s").distinct()
+    many = lambda c, why: b.groupBy("kind", c).agg(F.count("*").alias("n")).filter("n > 1").select("kind", F.col(c).alias("s"), F.lit(why).alias("why"))
+    can = "".join(_CLASSES)
+    same = b.filter((F.col("o") == F.col("s")) & F.regexp_replace("o", r"(@.*)\.[^.@]*$", "$1").rlike(f"[{can}]")).select("kind", "s", F.lit("unchanged").alias("why"))
+    return many("s", "shared").unionByName(many("o", "split")).unionByName(same)
+
+
+def checked(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
+    """``pseudonymize`` after its ledger was checked."""
+    wrong = collisions(ledger(docs, key)).groupBy("kind", "why").count().collect()
+    if wrong:
+        raise ValueError(f"surrogates are not one-to-one: {[tuple(r) for r in wrong]}")
+    return pseudonymize(docs, key, count)
 
 
 def op3_surrogates(spark, sf_dir: str) -> DataFrame:
-    return pseudonymize(scan(spark, sf_dir).select("doc_id", "text"), count="n_entities")
+    return checked(scan(spark, sf_dir).select("doc_id", "text"), count="n_entities")
