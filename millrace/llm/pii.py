@@ -348,11 +348,13 @@ def collisions(book: DataFrame) -> DataFrame:
     """The check of a ledger: surrogates that stand for more than one original, originals that have more
     than one surrogate, and originals that kept their form though they have a letter or digit to change.
     None is expected; all are sums by group."""
-    b = book.select("kind", "o", "s").distinct()
-    many = lambda c, why: b.groupBy("kind", c).agg(F.count("*").alias("n")).filter("n > 1").select("kind", F.col(c).alias("s"), F.lit(why).alias("why"))
     can = "".join(_CLASSES)
-    same = b.filter((F.col("o") == F.col("s")) & F.regexp_replace("o", r"(@.*)\.[^.@]*$", "$1").rlike(f"[{can}]")).select("kind", "s", F.lit("unchanged").alias("why"))
-    return many("s", "shared").unionByName(many("o", "split")).unionByName(same)
+    same = (F.col("o") == F.col("s")) & F.regexp_replace("o", r"(@.*)\.[^.@]*$", "$1").rlike(f"[{can}]")
+    row = lambda why, at, other: F.struct(F.lit(why).alias("why"), "kind", F.col(at).alias("s"), F.col(other).alias("other"))
+    # in one aggregation, as the ledger is found anew each time it is read
+    rows = book.select(F.explode(F.array(row("shared", "s", "o"), row("split", "o", "s"), F.when(same, row("unchanged", "s", "o")))).alias("r")).filter("r IS NOT NULL").select("r.*")
+    n = rows.distinct().groupBy("kind", "s", "why").agg(F.count("*").alias("n"))
+    return n.filter("n > 1 OR why = 'unchanged'").select("kind", "s", "why")
 
 
 def checked(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
