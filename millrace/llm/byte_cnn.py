@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucket_of, scan, utf8, written
+from millrace.llm.common import bucket_of, parts, scan, utf8, written
 
 WINDOW = 128  # bytes
 WIDTHS = (2, 3, 4)
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
         net = ready.get("net") or ready.setdefault("net", shared.value.frozen())
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            for at, part in _parts(texts):
+            for at, part in parts(texts):
                 langs, scores = net.predict(part)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -174,18 +174,6 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def _parts(texts, most: int = 4_000_000):
-    """Slices of about ``most`` characters, so that memory doesn't follow the batch."""
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total > most:
-            yield at, texts[at : i + 1]
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
-
-
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir)
     held = bucket_of(F.col("doc_id"), 3) == 1

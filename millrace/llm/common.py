@@ -76,3 +76,44 @@ def utf8(text: str | None) -> bytes:
 
 def scan(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def parts(texts, most: int = 4_000_000):
+    """Slices of about ``most`` characters, so that memory doesn't follow the batch."""
+    at, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total > most:
+            yield at, texts[at : i + 1]
+            at, total = i + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+#: Random odd numbers for bytes, so that hashes of runs of bytes don't depend on their numeric values.
+BYTE_CODES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_power_tables: dict = {}
+
+
+def _powers(n: int):
+    if _power_tables.get("n", 0) < n:
+        one = np.ones(1, np.uint64)
+        inverse = np.uint64(pow(_BASE, -1, 2**64))
+        _power_tables["up"] = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
+        _power_tables["down"] = np.cumprod(np.concatenate([one, np.full(n, inverse, np.uint64)]), dtype=np.uint64)
+        _power_tables["n"] = n
+    return _power_tables["up"], _power_tables["down"]
+
+
+class Prefix:
+    """Hashes of any run of tokens from prefix sums modulo 2^64."""
+
+    def __init__(self, v: np.ndarray):
+        up, self.down = _powers(max(len(v), 4096))
+        self.sums = np.zeros(len(v) + 1, np.uint64)
+        np.cumsum(v * up[: len(v)], out=self.sums[1:])
+
+    def runs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of tokens a..b-1, for arrays of a and b; the length is part of the hash."""
+        return mix64((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import repeats
-from millrace.llm.byte_cnn import _parts
-from millrace.llm.common import NULL_DOC, WordHashes, scan, scratch_root, utf8, written
+from millrace.llm.common import NULL_DOC, WordHashes, parts, scan, scratch_root, utf8, written
 
 WINDOW = 50
 ANCHOR = 17
@@ -109,7 +108,7 @@ def _cutter(keep: bool):
         for b in batches:
             rows, all_ = b.column(0), b.column(1).to_pylist()
             starts, ends = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for at, part in _parts(all_):
+            for at, part in parts(all_):
                 out = [[], [], [], []]
                 for i, x in enumerate(part, at):
                     words = utf8(x).split()

@@ -15,10 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_cnn import _parts
-from millrace.llm.common import WordHashes, mix64, scan, utf8, written
+from millrace.llm.common import Prefix, WordHashes, mix64, parts, scan, utf8, written
 from millrace.llm.components import components
-from millrace.llm.repeats import Prefix
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -224,7 +222,7 @@ def sketches(texts: DataFrame) -> DataFrame:
         seen: set = set()
         for b in batches:
             nodes, all_ = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at, part in _parts(all_):
+            for at, part in parts(all_):
                 out = [[], [], [], []]
                 for i, x in enumerate(part, at):
                     if nodes[i] in seen:
@@ -349,7 +347,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         seen: set = set()
         for b in batches:
             nodes, all_ = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at, part in _parts(all_):
+            for at, part in parts(all_):
                 out = [[], []]
                 for i, x in enumerate(part, at):
                     if nodes[i] not in seen:

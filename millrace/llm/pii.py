@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_cnn import _parts
-from millrace.llm.common import scan
+from millrace.llm.common import parts, scan
 
 KEY = "millrace-surrogates"
 ROUNDS = 8
@@ -301,7 +300,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
         s = Surrogates(key)
         for b in batches:
             texts = b.column(at_text).to_pylist()
-            for at, part in _parts(texts):
+            for at, part in parts(texts):
                 got = [replaced(t, s) for t in part]
                 own = [c.slice(at, len(part)) for c in b.columns]
                 own[at_text] = pa.array([t for t, _ in got], pa.string())
@@ -336,7 +335,7 @@ def ledger(docs: DataFrame, key: str = KEY) -> DataFrame:
     def run(batches):
         s = Surrogates(key)
         for b in batches:
-            for _, part in _parts(b.column(0).to_pylist()):
+            for _, part in parts(b.column(0).to_pylist()):
                 got = {(k, o) for t in part for k, a, z in entities(t) for o in (re.split(r"[ \-]", t[a:z]) if k == "name" else [t[a:z]]) if o not in _PARTICLES}
                 rows = [(k, o, n, _plain(k, o), _plain(k, n)) for k, o in sorted(got) for n in [s.of(k, o)]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows) if rows else [()] * 5)], ["kind", "original", "surrogate", "o", "s"])

@@ -10,17 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import repeats
-from millrace.llm.byte_cnn import _parts
-from millrace.llm.common import scan, utf8, written
+from millrace.llm.common import BYTE_CODES, parts, scan, utf8, written
 
 LENGTH = 200
 ANCHOR = 64
 STEPS = (12, 1)
-_CODES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def byte_tokens(text: str | None) -> np.ndarray:
-    return _CODES[np.frombuffer(utf8(text), np.uint8)]
+    return BYTE_CODES[np.frombuffer(utf8(text), np.uint8)]
 
 
 def spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +64,7 @@ def _cutter(keep: bool):
         for b in batches:
             rows, all_ = b.column(0), b.column(1).to_pylist()
             starts, ends = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for at, part in _parts(all_):
+            for at, part in parts(all_):
                 out = [[], [], [], [], []]
                 for i, x in enumerate(part, at):
                     data = utf8(x)

@@ -30,43 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_cnn import _parts
-from millrace.llm.common import mix64, written
+from millrace.llm.common import Prefix, mix64, parts, written
 
 SEGMENT = 1 << 19  # windows worked on at once: bounds the memory that a very long text takes
-_BASE = 0x9E3779B97F4A7C15
 #: Spans of at most so many texts, and so many spans, are broadcast to the texts; more are shuffled.
 BROADCAST_TEXTS = 400_000
 BROADCAST_SPANS = 2_000_000
 
 ROWS = "doc long, t long, start int, n int, off int, core long, whole long"
 
-_tables: dict = {}
-
-
-def _powers(n: int):
-    if _tables.get("n", 0) < n:
-        one = np.ones(1, np.uint64)
-        inverse = np.uint64(pow(_BASE, -1, 2**64))
-        _tables["up"] = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
-        _tables["down"] = np.cumprod(np.concatenate([one, np.full(n, inverse, np.uint64)]), dtype=np.uint64)
-        _tables["n"] = n
-    return _tables["up"], _tables["down"]
-
-
-class Prefix:
-    """Hashes of any run of tokens from prefix sums modulo 2^64."""
-
-    def __init__(self, v: np.ndarray):
-        up, self.down = _powers(max(len(v), 4096))
-        self.sums = np.zeros(len(v) + 1, np.uint64)
-        np.cumsum(v * up[: len(v)], out=self.sums[1:])
-
-    def runs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of tokens a..b-1, for arrays of a and b; the length is part of the hash."""
-        return mix64((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
-
-
 def anchored(v: np.ndarray, width: int, k: int):
     """Ranges of windows by anchor: arrays start, n, off (the anchor's distance from start), core,
     whole.  Fewer than ``width`` tokens: none."""
@@ -136,9 +108,9 @@ def ranges(texts: DataFrame, tokens: Callable, width: int, k: int) -> DataFrame:
     return texts.select("doc", "t", "text").mapInArrow(run, ROWS)
 
 
-def _split_rows(texts: DataFrame, parts: DataFrame, tokens: Callable, width: int, step: int) -> DataFrame:
-    """The ranges ``parts`` (doc, t, start, n, off, core) of these texts, split."""
-    by = parts.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "n", "off", "core")).alias("parts"), F.count("*").alias("size"))
+def _split_rows(texts: DataFrame, mixed: DataFrame, tokens: Callable, width: int, step: int) -> DataFrame:
+    """The ranges ``mixed`` (doc, t, start, n, off, core) of these texts, split."""
+    by = mixed.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "n", "off", "core")).alias("parts"), F.count("*").alias("size"))
     by = written(by, "repeat-parts")
     found = _matched(texts, by, "size", "inner")
 

@@ -1,143 +1,154 @@
-"""Operator 8: language-model scoring by a probabilistic suffix tree over the bytes of words."""
+"""Operator 8: language-model scoring by a probabilistic suffix tree over the running text's bytes.
+
+A text is its words in lower case (A-Z), one blank between them, and a line feed, the end.  Symbols
+are its bytes; the context of a symbol are the DEPTH bytes before it, across words.  Of every
+context the counts of the next symbols are gathered from all training texts.  A context is retained
+if its next symbols diverge enough from those of the context that is one byte shorter; a symbol's
+probability is that after the longest retained suffix of what came before, smoothed towards the
+next shorter retained one and so on to the empty context.  The tree has no bound but the corpus:
+counts, retained contexts and the values of windows are partitioned tables."""
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
-from operator import add
+import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_cnn import _parts
-from millrace.llm.common import bucket_of, scan, utf8, written
+from millrace.llm.common import BYTE_CODES, Prefix, bucket_of, scan, utf8, written
 
-DEPTH = 7
+#: Bytes of context.  A window is a symbol and its context, packed in an integer, the symbol lowest.
+DEPTH = 5
 #: A context is a candidate if it was seen so often, whatever the corpus: the tree grows with it.
 LEAST = 2
 #: A context is retained if its next symbols diverge from those of the next shorter one by so many nats in all.
-DIVERGENCE = 12.0
-#: Words and openings with at least 1 / FREQUENT of all tokens, at most so many of each, are looked up
-#: in broadcast arrays; the others' counts and scores are joined.
-FREQUENT = 500_000
+DIVERGENCE = 6.0
+#: Words and windows with at least 1 / FREQUENT of all occurrences, so at most FREQUENT of each, are
+#: looked up in broadcast arrays of 16 bytes an entry; the others' values are joined.
+FREQUENT = 4_000_000
+CHUNK = 1 << 20  # bytes that are worked on at once
 ROWS = 500_000  # rows that are worked on at once
-PAD = 0x0D  # a blank, like the space and the line feed that stand for the ends of words and texts: no word has them
-#: The first HEAD symbols of a word see the last TAIL bytes of the word before, the space and what
-#: came of the word; the others see their word only.
-HEAD, TAIL = 3, 4
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """The words, A-Z in lower case; the end that every text has is not among them."""
-    return utf8(text).lower().split()
-
-
-class _Bounded(dict):
-    """``make`` of a key, kept for up to MOST keys."""
-
-    MOST = 100_000
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= self.MOST:
-            self.clear()
-        v = self[key] = self.make(key)
-        return v
-
-
-_tails = _Bounded(lambda w: (bytes([PAD]) + w)[-TAIL:])
-_starts = _Bounded(lambda w: b" " + w[:HEAD] + b" " * (len(w) < HEAD))
-
-
-def openings(words: list[bytes]) -> list[bytes]:
-    """Of every word of a text, and of its end: the end of the word before and the first symbols."""
-    before = chain([bytes([PAD])], map(_tails.__getitem__, words))
-    return list(map(add, before, chain(map(_starts.__getitem__, words), [b" \n"])))
-
-
-def _counted(docs: DataFrame, of, name: str) -> DataFrame:
-    """(word, h, c): the strings that ``of`` makes of each text's words, counted within tasks before the shuffle."""
+HELD = 1_500_000  # counts that a task holds before it passes them on
+PAD = 0x0D  # stands before a text; no text in this form has it
+WORD, WINDOW = 0, 1  # kinds of keys
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(2**64 - 1)
+
+
+def canonical(text: str | None) -> bytes:
+    return b" ".join(utf8(text).lower().split()) + b"\n"
+
+
+def _pieces(s: bytes, most: int):
+    """(from, to) of consecutive pieces of about ``most`` bytes that end after a blank; a longer word is whole."""
+    a = 0
+    while len(s) - a > most:
+        z = s.rfind(b" ", a, a + most) + 1 or s.find(b" ", a + most) + 1 or len(s)
+        yield a, z
+        a = z
+    if a < len(s):
+        yield a, len(s)
+
+
+class Chunk:
+    """Pieces of texts in one buffer: ``doc`` (the text of each piece), ``win`` (the windows of all symbols),
+    ``at`` (where each piece's windows begin), ``words`` (hashes) and ``ends`` (words up to each piece's end)."""
+
+    def __init__(self, docs: list[int], parts: list[tuple[bytes, bytes]]):
+        self.doc = np.array(docs, np.int64)
+        buf = np.frombuffer(b"".join([x for p in parts for x in p]), np.uint8)
+        sizes = np.fromiter((len(p[1]) for p in parts), np.int64, len(parts))
+        first = np.cumsum(sizes + DEPTH) - sizes  # of each piece the place of its first symbol
+        own = np.ones(len(buf), bool)
+        own[(first[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
+        wide = buf.astype(np.uint64)
+        win = wide.copy()
+        for k in range(1, DEPTH + 1):
+            win[k:] |= wide[: len(buf) - k] << np.uint64(8 * k)
+        self.win, self.at = win[own], np.cumsum(sizes) - sizes
+        blank = ~own | (buf == 32) | (buf == 10)
+        start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+        self.words = np.minimum(Prefix(BYTE_CODES[buf]).runs(start, end), _NONE - np.uint64(1))
+        self.ends = np.searchsorted(start, first + sizes)
+
+    def sums(self, of_words: np.ndarray, n: int) -> np.ndarray:
+        """Sums of a value of each word, by text."""
+        total = np.concatenate([[0.0], np.cumsum(of_words)])[self.ends]
+        return np.bincount(self.doc, np.diff(total, prepend=0.0), n)
+
+    def places(self, of: np.ndarray, which: int) -> np.ndarray:
+        """The texts of the words, or windows, with these numbers."""
+        if which == WORD:
+            return self.doc[np.searchsorted(self.ends, of, "right")]
+        return self.doc[np.searchsorted(self.at, of, "right") - 1]
+
+
+def chunks(texts: list):
+    docs, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        s = canonical(t)
+        for a, z in _pieces(s, CHUNK):
+            docs.append(i)
+            parts.append((s[max(0, a - DEPTH) : a].rjust(DEPTH, bytes([PAD])), s[a:z]))
+            size += z - a
+            if size >= CHUNK:
+                yield Chunk(docs, parts)
+                docs, parts, size = [], [], 0
+    if parts:
+        yield Chunk(docs, parts)
+
+
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple:
+    """Distinct keys in order and the sums of each one's counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(kind, key, c, n): how often each word and window occurs in rows (text, learn) that are learned
+    from, and in all; summed within tasks before the shuffle."""
 
     def run(batches):
-        count: Counter = Counter()
-
-        def rows():
-            words = list(count)
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array([xxhash.xxh3_64_intdigest(w) - 2**63 for w in words], pa.int64()), pa.array(count.values(), pa.int64())], ["word", "h", "c"])
-            count.clear()
-            return batch
+        held, size = ([], []), [0, 0]
+
+        def add(kind, keys, learn):
+            u, n = np.unique(keys, return_counts=True)
+            held[kind].append((u, n * learn, n))
+            size[kind] += len(u)
+
+        def out(kind, last):
+            if not size[kind] or (size[kind] <= 2 * HELD and not last):
+                return
+            keys, c, n = _summed(*map(np.concatenate, zip(*held[kind])))
+            held[kind][:], size[kind] = [(keys, c, n)], len(keys)
+            if not last and len(keys) <= HELD:
+                return
+            held[kind].clear()
+            size[kind] = 0
+            for a in range(0, len(keys), ROWS):
+                k = keys[a : a + ROWS]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(c[a : a + ROWS]), pa.array(n[a : a + ROWS])], ["kind", "key", "c", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                count.update(of(tokens(t.as_py())))
-                if len(count) > 150_000:
-                    yield rows()
-        yield rows()
-
-    got = docs.select("text").mapInArrow(run, "word binary, h long, c long")
-    return written(got.groupBy("word", "h").agg(F.sum("c").alias("c")), name)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    return _counted(docs, lambda w: w, "pst-words")
+            texts, learn = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for flag in (1, 0):
+                for x in chunks([t for t, v in zip(texts, learn) if bool(v) == flag]):
+                    add(WORD, x.words, flag)
+                    add(WINDOW, x.win, flag)
+                    for kind in (WORD, WINDOW):
+                        yield from out(kind, False)
+        for kind in (WORD, WINDOW):
+            yield from out(kind, True)
 
-
-def _places(strings: list[bytes], skip: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each string the bytes from place ``skip`` on with the DEPTH bytes before each, packed in a
-    uint64, and how many such places each string has."""
-    pad = bytes([PAD] * DEPTH)
-    buf = np.frombuffer(b"".join([pad + s for s in strings]), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    skips = np.array(skip, np.int64)
-    win = np.zeros(len(buf), np.uint64)
-    for k in range(DEPTH + 1):
-        win[k:] |= buf[: len(buf) - k] << np.uint64(8 * k)
-    n = np.maximum(sizes - skips, 0)
-    starts = np.cumsum(sizes + DEPTH) - sizes + skips
-    first = np.cumsum(n) - n
-    return win[np.repeat(starts - first, n) + np.arange(int(n.sum()))], n
-
-
-def _rest(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the symbols of words after the first HEAD; the closing space is a symbol."""
-    return _places([b" " + w + b" " for w in words], [1 + HEAD] * len(words))
-
-
-def _heads(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the symbols of openings."""
-    return _places(keys, [k.index(b" ") + 1 for k in keys])
-
-
-def _context_counts(words: DataFrame, opened: DataFrame) -> DataFrame:
-    """(win, c): how often each symbol follows the DEPTH symbols that it sees."""
-
-    def run(of):
-        def rows(batches):
-            for b in batches:
-                ws, cs = b.column(0).to_pylist(), b.column(1).to_numpy()
-                for a in range(0, len(ws), 50_000):
-                    win, sizes = of(ws[a : a + 50_000])
-                    if not len(win):
-                        continue
-                    weight = np.repeat(cs[a : a + 50_000], sizes)
-                    order = np.argsort(win)
-                    win, weight = win[order], weight[order]
-                    first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(win[first].view(np.int64)), pa.array(np.add.reduceat(weight, first))], ["win", "c"])
-
-        return rows
-
-    got = words.select("word", "c").mapInArrow(run(_rest), "win long, c long").unionByName(
-        opened.select("word", "c").mapInArrow(run(_heads), "win long, c long"))
-    return written(got.groupBy("win").agg(F.sum("c").alias("c")), "pst-contexts")
+    got = docs.select("text", "learn").mapInArrow(run, "kind int, key long, c long, n long")
+    return written(got.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "pst-counts")
 
 
 def _mask(d: int) -> np.uint64:
@@ -145,14 +156,6 @@ def _mask(d: int) -> np.uint64:
     return np.uint64((1 << 8 * (d + 1)) - 1)
 
 
-def _summed(win: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows in order and the sum of each one's counts."""
-    order = np.argsort(win)
-    win, c = win[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]])) if len(win) else np.zeros(0, np.int64)
-    return win[first], np.add.reduceat(c, first) if len(first) else c
-
-
 def _contexts(win: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of windows in order: the contexts, where each begins, the sum of each one's counts."""
     ctx = win >> np.uint64(8)
@@ -196,8 +199,8 @@ def _group():
 
 
 class Tree:
-    """The retained contexts: those of at most one symbol as arrays, at most 2 ** 16 windows, the
-    others as a table (g, d, win, c) of their windows, which is joined to what is to be scored."""
+    """The retained contexts of counts (win, c): those of at most one symbol as arrays, at most 2 ** 16
+    windows, the others as a table (g, d, win, c) of their windows, which is joined to what is to be scored."""
 
     def __init__(self, counts: DataFrame, least: float = LEAST, divergence: float = DIVERGENCE):
         one = counts.groupBy(F.col("win").bitwiseAND(F.lit(0xFFFF)).alias("win")).agg(F.sum("c").alias("c")).toPandas()
@@ -221,23 +224,10 @@ class Tree:
         rows = counts.select(_group(), "win", "c").repartition("g").sortWithinPartitions("g")
         self.table = written(rows.mapInArrow(run, "g int, d int, win long, c long"), "pst-tree")
 
-    def scored(self, strings: DataFrame) -> DataFrame:
-        """(h, score) of distinct words and openings (s, h): log10 of the probability of a word's
-        symbols after the first ones, of an opening's symbols.  Strings without such symbols have no row."""
+    def scored(self, windows: DataFrame) -> DataFrame:
+        """(win, n) -> (win, n, score): log10 of the probability of each window's symbol after its context."""
         top = self.top
 
-        def places(batches):
-            for b in batches:
-                all_, hs = b.column(0).to_pylist(), b.column(1).to_numpy()
-                for at in range(0, len(all_), 50_000):
-                    part, h = all_[at : at + 50_000], hs[at : at + 50_000]
-                    opening = np.fromiter((b" " in x for x in part), bool, len(part))
-                    for of, ours in ((_rest, ~opening), (_heads, opening)):
-                        mine = np.flatnonzero(ours)
-                        if len(mine):
-                            win, n = of([part[i] for i in mine])
-                            yield pa.RecordBatch.from_arrays([pa.array(win.view(np.int64)), pa.array(np.repeat(h[mine], n))], ["win", "c"])
-
         def look(batches):
             held = [np.zeros(0, np.int64)] * 4
             new, size = [], 0
@@ -252,7 +242,8 @@ class Tree:
                 on = d > DEPTH
                 p = np.log10(_probabilities(win[on], levels))
                 last = (g == g[-1]) & ~on  # this group may go on
-                return [x[last] for x in (g, d, win.view(np.int64), c)], pa.RecordBatch.from_arrays([pa.array(c[on]), pa.array(p)], ["h", "score"])
+                got = pa.RecordBatch.from_arrays([pa.array(win[on].view(np.int64)), pa.array(c[on]), pa.array(p)], ["win", "n", "score"])
+                return [x[last] for x in (g, d, win.view(np.int64), c)], got
 
             for b in batches:
                 new.append([b.column(i).to_numpy() for i in range(4)])
@@ -264,10 +255,9 @@ class Tree:
             if size:
                 yield work(held, new)[1]
 
-        rows = strings.select("s", "h").mapInArrow(places, "win long, c long")
-        rows = rows.select(_group(), F.lit(DEPTH + 1).alias("d"), "win", "c").unionByName(self.table)
+        rows = windows.select(_group(), F.lit(DEPTH + 1).alias("d"), "win", F.col("n").alias("c")).unionByName(self.table)
         rows = rows.repartition("g").sortWithinPartitions("g", "d")  # a group's contexts before what asks for them
-        return rows.mapInArrow(look, "h long, score double").groupBy("h").agg(F.sum("score").alias("score"))
+        return rows.mapInArrow(look, "win long, n long, score double")
 
 
 def _whole(batches):
@@ -290,212 +280,125 @@ def _whole(batches):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-class SuffixTree:
-    """A small tree in memory, against which ``Tree`` is checked: retained contexts by length, and of
-    each the smoothed log10 distribution of the next byte."""
-
-    def __init__(self, keys: list[np.ndarray], rows: list[np.ndarray], logs: np.ndarray, column: np.ndarray):
-        # a column per byte that was seen; the others have the last one in common
-        self.keys, self.rows, self.logs, self.column = keys, rows, logs, column
-
-    def states(self, ctx: np.ndarray) -> np.ndarray:
-        """The row of the longest retained suffix of each context."""
-        row = np.zeros(len(ctx), np.int64)
-        left = np.arange(len(ctx))
-        for d in range(DEPTH, 0, -1):
-            keys = self.keys[d]
-            if not len(keys) or not len(left):
-                continue
-            c = ctx[left] & np.uint64((1 << 8 * d) - 1)
-            i = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-            hit = keys[i] == c
-            row[left[hit]] = self.rows[d][i[hit]]
-            left = left[~hit]
-        return row
-
-    def _sums(self, places) -> np.ndarray:
-        win, n = places
-        p = np.zeros(len(win) + 1)
-        p[1:] = np.cumsum(self.logs[self.states(win >> np.uint64(8)), self.column[(win & np.uint64(255)).astype(np.int64)]].astype(float))
-        end = np.cumsum(n)
-        return p[end] - p[end - n]
-
-    def rest(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word's symbols after the first ones."""
-        return self._sums(_rest(words)) if words else np.zeros(0)
-
-    def heads(self, keys: list[bytes]) -> np.ndarray:
-        """log10 of the probability of the first symbols, of each opening."""
-        return self._sums(_heads(keys)) if keys else np.zeros(0)
-
-
-def grow(counts: DataFrame, share: float = 0.0, divergence: float = DIVERGENCE) -> SuffixTree:
-    """The tree in memory of a small table of context counts, length by length; a context needs
-    ``share`` of all symbols besides."""
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    least = max(LEAST, share * total)
-    nxt = F.col("win").bitwiseAND(F.lit(255))
-    seen: list[dict] = []  # by length: context -> counts by column
-    survivors, column, width = None, np.zeros(256, np.int64), 1
-    for d in range(DEPTH + 1):
-        ctx = F.shiftrightunsigned("win", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
-        rows = counts.select(ctx.alias("ctx"), nxt.alias("x"), "c")
-        if d:
-            rows = rows.withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)))
-            rows = rows.join(F.broadcast(survivors), "up", "left_semi")
-        by = rows.groupBy("ctx", "x").agg(F.sum("c").alias("c"))
-        keep = by.groupBy("ctx").agg(F.sum("c").alias("n"), F.collect_list("x").alias("x"), F.collect_list("c").alias("c")).filter(F.col("n") >= least)
-        got = keep.select("ctx", "x", "c").toPandas()
-        if not d:
-            symbols = np.sort(np.array(list(got["x"][0]), np.int64)) if len(got) else np.zeros(0, np.int64)
-            width = len(symbols) + 1
-            column = np.full(256, width - 1)
-            column[symbols] = np.arange(width - 1)
-        level: dict = {}
-        for c, x, n in zip(got["ctx"].tolist(), got["x"], got["c"]):
-            v = level[c] = np.zeros(width, np.float32)
-            v[column[np.asarray(x, np.int64)]] = n
-        seen.append(level)
-        if not level:
-            break
-        survivors = counts.sparkSession.createDataFrame(pd.DataFrame({"up": list(level)}), "up long")
-    keys = [np.zeros(0, np.uint64)] * (DEPTH + 1)
-    rows = [np.zeros(0, np.int64)] * (DEPTH + 1)
-
-    def smoothed(v, parent):
-        kinds = max(1, int((v > 0).sum()))
-        return ((v + kinds * parent) / (float(v.sum(dtype=float)) + kinds)).astype(np.float32)
-
-    dists = [smoothed(seen[0].get(0, np.zeros(width)), np.full(width, 1 / 256))]
-    row_of = {(0, 0): 0}
-    for d in range(1, len(seen)):
-        kept = []
-        for c, v in seen[d].items():
-            up = seen[d - 1][c & ((1 << 8 * (d - 1)) - 1)]
-            n = v.sum(dtype=float)
-            p, q = v / n, up / up.sum(dtype=float)
-            on = p > 0
-            if n * float((p[on] * np.log(p[on] / np.maximum(q[on], 1e-12))).sum()) < divergence:
-                continue
-            a = d - 1
-            while (a, c & ((1 << 8 * a) - 1)) not in row_of:
-                a -= 1
-            row_of[d, c] = len(dists)
-            dists.append(smoothed(v, dists[row_of[a, c & ((1 << 8 * a) - 1)]]))
-            kept.append((c, row_of[d, c]))
-        kept.sort()
-        keys[d] = np.array([c for c, _ in kept], np.uint64)
-        rows[d] = np.array([r for _, r in kept], np.int64)
-    return SuffixTree(keys, rows, np.log10(np.array(dists)), column)
-
-
-class _Numbered:
-    """Numbers for strings, and arrays of what ``make`` works out for lists of new ones; starts anew beyond MOST."""
-
-    MOST = 200_000
-
-    def __init__(self, make):
-        self.make, self.ids, self.values = make, {}, None
-
-    def of(self, strings: list[bytes]):
-        if len(self.ids) > self.MOST:
-            self.ids, self.values = {}, None
-        ids = self.ids
-        new = [s for s in dict.fromkeys(strings) if s not in ids]
-        for a in range(0, max(1, len(new)), 20_000):  # once for an empty list, so that the arrays are there
-            got = self.make(new[a : a + 20_000])
-            ids.update(zip(new[a : a + 20_000], range(len(ids), len(ids) + 20_000)))
-            self.values = got if self.values is None else tuple(np.concatenate(x) for x in zip(self.values, got))
-        return np.fromiter(map(ids.__getitem__, strings), np.int64, len(strings)), self.values
-
-
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Every row of ``docs`` as (doc_id, n_tokens, n_known, train_tokens, base_score, score).
-
-    Base: add-one probabilities of words and of the end, counted over all of ``train``.  Model: the
-    tree of the same counts; a text's probability is that of its words byte by byte and of its end.
-    A null or empty text is an end alone.  Without training texts the tree is uniform and the base
-    score 0.  Rows are independent; repeated rows repeat."""
+class Table:
+    """Numbers by key, in arrays with open addressing: a look-up is a few array operations for any number of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values, self.probes = np.full(1 << bits, _NONE), np.zeros(1 << bits), 0
+        left, at = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            self.probes += 1
+            won, free = np.zeros(len(at), bool), np.flatnonzero(self.keys[at] == _NONE)
+            won[free[np.unique(at[free], return_index=True)[1]]] = True  # of those that want the same free place the first
+            self.keys[at[won]], self.values[at[won]] = keys[left[won]], values[left[won]]
+            left, at = left[~won], (at[~won] + 1) & self.last
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _GOLDEN >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, numbers of the keys that aren't there)."""
+        at = self._first(keys)
+        found = self.keys[at]
+        values = self.values[at]
+        left = np.flatnonzero(found != keys)
+        values[left] = 0.0
+        missing = [left[found[left] == _NONE]]
+        left = left[found[left] != _NONE]
+        at = at[left]
+        for _ in range(1, self.probes):
+            if not len(left):
+                break
+            at = (at + 1) & self.last
+            found = self.keys[at]
+            hit = found == keys[left]
+            values[left[hit]] = self.values[at[hit]]
+            missing.append(left[found == _NONE])
+            go = ~hit & (found != _NONE)
+            left, at = left[go], at[go]
+        return values, np.concatenate([*missing, left])
+
+
+_ready: dict = {}
+
+
+def _tables(token: str, known) -> list[Table]:
+    """The look-up tables of a broadcast, made once in each worker."""
+    if token not in _ready:
+        _ready.clear()
+        _ready[token] = [Table(*x) for x in known.value]
+    return _ready[token]
+
+
+def score(docs: DataFrame, learn: Column) -> DataFrame:
+    """Every row of ``docs`` as (doc_id, n_tokens, n_known, train_tokens, base_score, score); the rows for which
+    ``learn`` is true are learned from.
+
+    Base: add-one probabilities of words and of the end, counted over all those rows.  Model: the tree of
+    the same rows.  A null or empty text is an end alone.  Where nothing is learned the tree is uniform and
+    the base score 0; an empty table gives no rows.  Rows are independent, ties don't matter, repeated rows
+    repeat and count each; columns other than doc_id and text play no part, whatever their names.  A very long
+    text is worked on in pieces.  Words are known by 64-bit hashes."""
     spark = docs.sparkSession
-    words = word_counts(train)
-    n_texts = train.count()
-    s = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = (s["n"] or 0) + n_texts, s["v"] + (n_texts > 0)
-    opened = _counted(train, openings, "pst-openings")
-    tree = Tree(_context_counts(words, opened))
-    least = max(1.0, n / FREQUENT)
-    often = words.filter(F.col("c") >= least).select(F.col("word").alias("s"), "h", "c", F.lit(False).alias("opening"))
-    often = written(often.unionByName(opened.filter(F.col("c") >= least).select(F.col("word").alias("s"), "h", "c", F.lit(True).alias("opening"))), "pst-often")
-    got = often.join(tree.scored(often), "h", "left").select("h", "c", "opening", F.coalesce("score", F.lit(0.0)).alias("score")).toPandas().sort_values("h")  # 2 * FREQUENT rows at most
-    known = [(x["h"].to_numpy(np.int64), x["c"].to_numpy(np.int64), x["score"].to_numpy(float)) for x in (got[~got["opening"].astype(bool)], got[got["opening"].astype(bool)])]
-    known = spark.sparkContext.broadcast(known)
-    whole = float(np.log10(n + v + 1))
-    end_base = float(np.log10(n_texts + 1))
+    docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    counts = counted(docs)
+    n_texts = docs.filter("learn").count()
+    words, windows = counts.filter(F.col("kind") == WORD), counts.filter(F.col("kind") == WINDOW).withColumnRenamed("key", "win")
+    s = counts.groupBy("kind").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()
+    s = {r["kind"]: r for r in s}
+    n, v = (s[WORD]["c"] + n_texts, s[WORD]["v"] + (n_texts > 0)) if WORD in s else (n_texts, int(n_texts > 0))
+    tree = Tree(windows.filter("c > 0").select("win", "c"))
+    logs = tree.scored(windows).select(F.lit(WINDOW).alias("kind"), F.col("win").alias("key"), "n", F.col("score").alias("value"))
+    values = written(words.select("kind", "key", "n", F.log10(F.col("c") + 1).alias("value")).unionByName(logs), "pst-values")
+    often = F.lit(False)
+    for kind, r in s.items():
+        often |= (F.col("kind") == kind) & (F.col("n") >= max(1.0, r["n"] / FREQUENT))
+    got = values.filter(often).select("kind", "key", "value").toPandas()
+    known = spark.sparkContext.broadcast([(x["key"].to_numpy(np.int64).view(np.uint64), x["value"].to_numpy(float)) for x in (got[got["kind"] == k] for k in (WORD, WINDOW))])
+    whole, end_base = float(np.log10(n + v + 1)), float(np.log10(n_texts + 1))
+    token = uuid.uuid4().hex
 
     def run(batches):
-        def found(which):
-            hs, cs, scores = known.value[which]
-
-            def of(new: list[bytes]):
-                h = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in new), np.int64, len(new))
-                c, p = np.full(len(new), -1), np.zeros(len(new))
-                if len(hs):
-                    i = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-                    hit = hs[i] == h
-                    c, p = np.where(hit, cs[i], -1), np.where(hit, scores[i], 0.0)
-                return h, c, p, np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0.0)
-
-            return _Numbered(of)
-
-        words, heads = found(0), found(1)
+        tables = _tables(token, known)
         for b in batches:
-            rids, ids, texts = b.column(0), b.column(1), b.column(2).to_pylist()
-            for at, part in _parts(texts, 1_000_000):
-                docs_ = [tokens(t) for t in part]
-                n = np.fromiter(map(len, docs_), np.int64, len(docs_))
-                flat, opens = list(chain.from_iterable(docs_)), list(chain.from_iterable(map(openings, docs_)))
-                own, (h, c, rest, base) = words.of(flat)
-                first, (oh, oc, head, _) = heads.of(opens)
-                ends, nth = np.cumsum(n), np.arange(len(n))
-
-                def sums(x, to, size):
-                    p = np.concatenate([[0.0], np.cumsum(x)])
-                    return p[to] - p[to - size]
-
-                # of the rarer words and openings, each once a text
-                w, o = np.flatnonzero(c[own] < 0), np.flatnonzero(oc[first] < 0)
-                doc = np.repeat(nth, n)[w]
-                code = np.concatenate([doc << 33 | own[w], np.repeat(nth, n + 1)[o] << 33 | 1 << 32 | first[o]])
-                code, i, tf = np.unique(code, return_index=True, return_counts=True)
-                is_word = i < len(w)
-                hash_ = np.concatenate([h[own[w]], oh[first[o]]])[i]
-                strings = [flat[w[k]] if a else opens[o[k - len(w)]] for k, a in zip(i.tolist(), is_word.tolist())]
-                offsets = np.searchsorted(code >> 33, np.arange(len(n) + 1)).astype(np.int32)
-                structs = pa.StructArray.from_arrays([pa.array(hash_, pa.int64()), pa.array(strings, pa.binary()), pa.array(tf.astype(np.int32))], ["h", "s", "tf"])
-                known_ = n - np.bincount(doc, minlength=len(n)) + (n_texts > 0)
-                cols = [
-                    pa.array(n + 1), pa.array(known_, pa.int64()), pa.array(sums(base[own], ends, n) + end_base),
-                    pa.array(sums(rest[own], ends, n) + sums(head[first], ends + nth + 1, n + 1)),
-                    pa.ListArray.from_arrays(pa.array(offsets), structs)]
-                yield pa.RecordBatch.from_arrays([rids.slice(at, len(part)), ids.slice(at, len(part)), *cols], ["rid", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
+            texts = b.column(2).to_pylist()
+            size = len(texts)
+            n, known_, base, model = (np.zeros(size) for _ in range(4))
+            rare = []
+            for x in chunks(texts):
+                lw, more = tables[WORD].get(x.words)
+                for total, of in ((n, np.ones(len(x.words))), (known_, lw > 0), (base, lw)):
+                    total += x.sums(of, size)
+                rare.append((x.places(more, WORD), np.full(len(more), WORD, np.int32), x.words[more]))
+                lp, more = tables[WINDOW].get(x.win)
+                model += np.bincount(x.doc, np.add.reduceat(lp, x.at), size)
+                rare.append((x.places(more, WINDOW), np.full(len(more), WINDOW, np.int32), x.win[more]))
+            doc, kind, key = (np.concatenate(y) for y in zip(*rare)) if rare else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))
+            order = np.argsort(doc, kind="stable")
+            offsets = np.searchsorted(doc[order], np.arange(size + 1)).astype(np.int32)
+            lists = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(key[order].view(np.int64))], ["kind", "key"])
+            cols = [
+                pa.array(np.rint(n).astype(np.int64) + 1), pa.array(np.rint(known_).astype(np.int64) + (n_texts > 0)), pa.array(base + end_base - (n + 1) * whole), pa.array(model),
+                pa.ListArray.from_arrays(pa.array(offsets), lists)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    rows = written(rows.mapInArrow(run, f"rid long, doc_id {kind}, n_tokens long, known long, logs double, score double, rare array<struct<h: long, s: binary, tf: int>>"), "pst-rows")
-    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.h", "r.s", "r.tf")
-    strings = rare.groupBy("h").agg(F.min("s").alias("s"))
-    values = tree.scored(strings).unionByName(words.filter(F.col("c") < least).select("h", "c"), allowMissingColumns=True)
-    values = values.groupBy("h").agg(F.sum("score").alias("p"), F.sum("c").alias("c"))
-    more = rare.drop("s").join(values, "h").groupBy("rid").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("add"), F.sum(F.col("tf") * F.col("p")).alias("p"))
-    out = rows.drop("rare").join(more, "rid", "left")
-    return out.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("score") + F.coalesce("p", F.lit(0.0))).alias("score"))
+    rows = written(rows.mapInArrow(run, f"rid long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<kind: int, key: long>>"), "pst-rows")
+    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.kind", "r.key")
+    more = rare.join(values.filter(~often).select("kind", "key", "value"), ["kind", "key"])
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0))
+    more = more.groupBy("rid").agg(of(WORD).alias("b"), of(WINDOW).alias("p"), F.count_if((F.col("kind") == WORD) & (F.col("value") > 0)).alias("k"))
+    plus = lambda c, x: F.col(c) + F.coalesce(F.col(x), F.lit(0).cast(rows.schema[c].dataType))
+    return rows.drop("rare").join(more, "rid", "left").select(
+        "doc_id", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        plus("base_score", "b").alias("base_score"), plus("score", "p").alias("score"))
 
 
 def op8_suffix_tree(spark, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir).select("doc_id", "text")
     held = bucket_of(F.col("doc_id"), 7) == 2
-    return score(docs, docs.filter(~held)).withColumn("held_out", held).select(
+    return score(docs, ~held).withColumn("held_out", held).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

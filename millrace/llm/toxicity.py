@@ -10,8 +10,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_cnn import _parts
-from millrace.llm.common import bucket_of, scan, utf8
+from millrace.llm.common import bucket_of, parts, scan, utf8
 
 #: The bound on the fit: labelled documents taken, those of the lowest hashes of their ids.
 MOST_LABELLED = 6000
@@ -148,7 +147,7 @@ def score(docs: DataFrame, model: Distance) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            for at, part in _parts(texts):
+            for at, part in parts(texts):
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array([shared.value.score(t) for t in part], pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -399,7 +399,7 @@ def test_containment(spark, edge, empty, wide):
 # 8
 
 
-def test_suffix_tree(spark, sf, edge, empty):
+def test_suffix_tree(spark, sf, edge, empty, wide):
     p = pd.read_parquet(f"{sf}/documents.parquet")
     got = QUERIES["op8_suffix_tree"](spark, sf).toPandas().set_index("doc_id")
     tok = lambda t: (t or "").encode().lower().split()
@@ -413,43 +413,87 @@ def test_suffix_tree(spark, sf, edge, empty):
         w, r = tok(t), got.loc[i]
         base = sum(math.log10(c[x] + 1) for x in w) + math.log10(n + 1) - (len(w) + 1) * math.log10(total + v + 1)
         assert r.base_score == pytest.approx(base) and (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, total)
-    assert (got.score < 0).all()
-    assert st.score(edge, edge).count() == len(EDGE) and st.score(edge, empty).filter("base_score <> 0 or n_known <> 0").count() == 0 and st.score(empty, empty).count() == 0
+    held = got[got.held_out]
+    assert (got.score < 0).all() and (held.score / held.n_tokens).mean() > (held.base_score / held.n_tokens).mean() - 1
+    yes, no = F.lit(True), F.lit(False)
+    assert st.score(edge, yes).count() == len(EDGE) and st.score(edge, no).filter("base_score <> 0 or n_known <> 0").count() == 0 and st.score(empty, yes).count() == 0
+    none = {r["doc_id"]: r["score"] for r in st.score(edge, no).collect()}
+    assert none[2] == none[3] == pytest.approx(math.log10(1 / 256)) and none[6] == pytest.approx(4 * math.log10(1 / 256))
+    assert st.score(wide, F.col("doc_id") == 1).columns == st.score(edge, yes).columns and st.score(wide, F.col("doc_id") == 1).count() == len(EDGE)
+
+
+def brute_tree(train, texts, depth, least, divergence):
+    """Scores by dictionaries: counts of next bytes by context, the divergence test, smoothed longest suffixes."""
+    count = collections.defaultdict(collections.Counter)
+    pad = bytes([st.PAD]) * depth
+    for t in train:
+        s = pad + st.canonical(t)
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                count[s[i - d : i]][s[i]] += 1
+
+    def kept(ctx):
+        if not ctx:
+            return ctx in count
+        c, u = count.get(ctx), count.get(ctx[1:])
+        if not c or sum(c.values()) < least:
+            return False
+        n, m = sum(c.values()), sum(u.values())
+        return sum(k * (math.log(k / n) - math.log(u[x] / m)) for x, k in c.items()) >= divergence - 1e-9
+
+    def probability(ctx, x):
+        p = 1 / 256
+        for d in range(depth + 1):
+            c = ctx[depth - d :]
+            if kept(c):
+                p = (count[c][x] + len(count[c]) * p) / (sum(count[c].values()) + len(count[c]))
+        return p
 
-
-def test_tree_is_a_distribution(spark):
-    docs = spark.createDataFrame([(i, "the cat sat on the mat " * (i % 3 + 1)) for i in range(60)], "doc_id long, text string")
-    words, opened = st.word_counts(docs), st._counted(docs, st.openings, "t")
-    tree = st.grow(st._context_counts(words, opened), share=0.001, divergence=1.0)
-    seen = len(set(tree.column.tolist())) - 1
-    sums = (10.0 ** tree.logs[:, :-1]).sum(1) + (256 - seen) * 10.0 ** tree.logs[:, -1]
-    assert len(tree.logs) > 5 and np.allclose(sums, 1, atol=1e-3)
+    out = []
+    for t in texts:
+        s = pad + st.canonical(t)
+        out.append(sum(math.log10(probability(s[i - depth : i], s[i])) for i in range(depth, len(s))))
+    return out
 
 
-def test_tree_grows_with_the_corpus(spark, monkeypatch):
-    small = [(i, "zažívá zvláštní zážitek " * 8) for i in range(5)]
-    count = lambda rows: st._context_counts(st.word_counts(rows), st._counted(rows, st.openings, "t"))
-    df = spark.createDataFrame(small, "doc_id long, text string")
-    counts = count(df)
+def test_tree_against_brute_force(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["the", "cat", "Sät", "on", "mat", "žluť", "a", "x" * 40]
+    docs = [(i, None if i == 7 else " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    learn = F.col("doc_id") % 3 != 0
+    want = brute_tree([t for i, t in docs if i % 3], [t for _, t in docs], st.DEPTH, st.LEAST, st.DIVERGENCE)
+    got = lambda: [r["score"] for r in st.score(df, learn).orderBy("doc_id").collect()]
+    assert got() == pytest.approx(want)
+    for name, v in (("ROWS", 3), ("CHUNK", 64), ("HELD", 50), ("FREQUENT", 1)):  # small portions; in the end all is joined
+        monkeypatch.setattr(st, name, v)
+        assert got() == pytest.approx(want), name
+    # probabilities of all symbols after a context sum to one
+    counts = st.counted(df.withColumn("learn", learn)).filter(f"kind = {st.WINDOW}").withColumnRenamed("key", "win")
+    every = spark.createDataFrame([(int.from_bytes(b"e cat" + bytes([x]), "big"), 1) for x in range(256)], "win long, n long")
+    total = st.Tree(counts.filter("c > 0").select("win", "c")).scored(every).agg(F.sum(F.pow(F.lit(10.0), "score"))).first()[0]
+    assert total == pytest.approx(1)
+
+
+def test_tree_grows_with_the_corpus(spark):
+    small = spark.createDataFrame([(i, "zažívá zvláštní zážitek " * 8) for i in range(5)], "doc_id long, text string")
+    counts = st.counted(small.withColumn("learn", F.lit(True))).filter(f"kind = {st.WINDOW}").select(F.col("key").alias("win"), "c")
     # unrelated text of 1e9 symbols
-    more = counts.unionByName(spark.createDataFrame([(int.from_bytes(b"BCDEFGH" + bytes([x]), "big"), 10**8) for x in range(65, 75)], "win long, c long"))
+    more = counts.unionByName(spark.createDataFrame([(int.from_bytes(b"BCDEF" + bytes([x]), "big"), 10**8) for x in range(65, 75)], "win long, c long"))
     deep = lambda tree: {(r["d"], r["win"], r["c"]) for r in tree.table.collect() if r["d"] > 1}
     a, b = deep(st.Tree(counts)), deep(st.Tree(more))
     assert a and a <= b
-    assert sum(map(len, st.grow(more).keys)) >= sum(map(len, st.grow(counts).keys))
-    # scores are those of the tree in memory, if all strings are joined and in small portions too
-    words = sorted({w for _, t in [*small, (0, "zvláště nežívá the cat")] for w in st.tokens(t)})
-    tree = st.grow(more)
-    keys = sorted({k for _, t in small for k in st.openings(st.tokens(t))})
-    strings = spark.createDataFrame([(bytearray(s), i) for i, s in enumerate(words + keys)], "s binary, h long")
-    want = dict(enumerate([*tree.rest(words), *tree.heads(keys)]))
-    for rows_ in (st.ROWS, 3):
-        monkeypatch.setattr(st, "ROWS", rows_)
-        got = {r["h"]: r["score"] for r in st.Tree(more).scored(strings).collect()}
-        assert all(got.get(i, 0.0) == pytest.approx(v, abs=1e-3) for i, v in want.items())
-    plain = {r["doc_id"]: r["score"] for r in st.score(df, df).collect()}
-    monkeypatch.setattr(st, "FREQUENT", 1)  # every string is joined
-    assert {r["doc_id"]: r["score"] for r in st.score(df, df).collect()} == pytest.approx(plain)
+
+
+def test_table():
+    keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
+    keys[:50] = np.arange(50)
+    keys = np.unique(keys)
+    t = st.Table(keys[::2], np.arange(len(keys[::2])) + 1.0)
+    v, none = t.get(keys)
+    assert (v[::2] == np.arange(len(keys[::2])) + 1).all() and sorted(none) == list(range(1, len(keys), 2)) and not v[none].any()
+    v, none = st.Table(keys[:0], np.zeros(0)).get(keys[:3])
+    assert not v.any() and sorted(none) == [0, 1, 2]
 
 
 def test_pipeline(spark, sf):
