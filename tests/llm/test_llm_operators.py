@@ -300,6 +300,25 @@ def test_near_copies_behind_a_shared_passage(spark, monkeypatch):
         assert rows(om.classes(df).select("doc_id", "class_id")) == want
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.18])
+def test_recall_by_edit_share(spark, share):
+    """Of all pairs that the alignment accepts, at least 0.9 are in one class, whatever the edits."""
+    r = random.Random(int(share * 100))
+    docs = []
+    for i in range(120):
+        w = [f"w{r.randrange(3000)}" for _ in range(r.choice([100, 300]))]
+        e = list(w)
+        for j in r.sample(range(len(w)), round(share * len(w))):
+            k = r.random()
+            e[j] = "" if k < 0.2 else f"x{r.randrange(3000)}" if k < 0.8 else e[j] + " y"
+        docs += [w, " ".join(e).split()]
+    df = spark.createDataFrame([(i, " ".join(w), "", "", 0) for i, w in enumerate(docs)], SCHEMA)
+    got = dict(rows(om.classes(df).select("doc_id", "class_id")))
+    near = [i for i in range(0, len(docs), 2) if lev(docs[i], docs[i + 1]) <= int(0.2 * max(len(docs[i]), len(docs[i + 1])))]
+    assert len(near) > 100 and sum(got[i + 1] == i for i in near) >= 0.9 * len(near)
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+
+
 # 6 and 9
 
 
