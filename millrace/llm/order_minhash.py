@@ -6,7 +6,7 @@ shingles, each labelled with its how-manieth occurrence it is, *in text order*.
 share J of their shingles in common and in the same order agree in one sketch with probability
 about J^MINIMA.  Shingles are broken by edits faster than words: at random edits of a share e, J is
 about x / (2 - x) with x = (1 - e)^5, so of pairs with 10 % edits 1 in 1e5 is missed, with 15 % 1 in
-200, with 18 % 1 in 30, with 20 %, the last that are near, 1 in 12; a class that has other links is
+150, with 18 % 1 in 20, with 20 %, the last that are near, 1 in 7; a class that has other links is
 whole nevertheless."""
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ SIMILARITY = 0.8
 SKETCHES = 64
 MINIMA = 2
 #: Of the least shingles of all hash functions, so many must agree for two texts of one bucket to be aligned.
-AGREE = 5
+AGREE = 8
 #: Buckets of more texts are worked on in salted parts whose leaders then meet.
 SALTED = 2000
 BLOCK = 1 << 17  # products of shingles and factors worked on at once: they stay in the cache
@@ -59,8 +59,8 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket keys of all sketches, 16 bits of each hash function's least shingle)."""
-    keys, least = np.zeros(SKETCHES, np.uint64), np.zeros(SKETCHES, np.uint16)
+    """(bucket keys of all sketches, 8 bits of each hash function's least shingle)."""
+    keys, least = np.zeros(SKETCHES, np.uint64), np.zeros(SKETCHES, np.uint8)
     if not len(h):
         return keys[:0], least
     many = max(1, BLOCK // len(h))
@@ -71,7 +71,7 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(top.shape[1]):
             top[:, j] = x.argmin(1)
             x[every, top[:, j]] = 2**64 - 1
-        least[a : a + many] = (h[top[:, 0]] & np.uint64(0xFFFF)).astype(np.uint16)
+        least[a : a + many] = (h[top[:, 0]] & np.uint64(0xFF)).astype(np.uint8)
         got = h[np.sort(top, axis=1)]  # in text order
         key = every.astype(np.uint64) + np.uint64(a)
         for j in range(top.shape[1]):
@@ -262,14 +262,14 @@ def _leaders(rows: DataFrame, salted: bool) -> DataFrame:
     alike = SIMILARITY
 
     def run(batches):
-        group, names, sizes, mins, used = None, [], np.zeros(64), np.zeros((64, SKETCHES), np.uint16), 0
+        group, names, sizes, mins, used = None, [], np.zeros(64), np.zeros((64, SKETCHES), np.uint8), 0
         for b in batches:
             out = [[] for _ in range(6)]
             cols = [b.column(i).to_pylist() for i in range(6)]
             for key, salt, many, node, n, least in zip(*cols):
                 if (key, salt) != group:
                     group, names, used = (key, salt), [], 0
-                m = np.frombuffer(least, np.uint16)
+                m = np.frombuffer(least, np.uint8)
                 near = np.zeros(0, int)
                 if used:
                     s = sizes[:used]
@@ -279,7 +279,7 @@ def _leaders(rows: DataFrame, salted: bool) -> DataFrame:
                         o.append(v)
                 if not len(near):
                     if used == len(sizes):
-                        sizes, mins = np.concatenate([sizes, np.zeros(used)]), np.concatenate([mins, np.zeros((used, SKETCHES), np.uint16)])
+                        sizes, mins = np.concatenate([sizes, np.zeros(used)]), np.concatenate([mins, np.zeros((used, SKETCHES), np.uint8)])
                     sizes[used], mins[used] = n, m
                     names.append(node)
                     used += 1
@@ -293,12 +293,18 @@ def _leaders(rows: DataFrame, salted: bool) -> DataFrame:
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(run, schema)
 
 
-def candidates(known: DataFrame) -> DataFrame:
+def buckets(known: DataFrame) -> DataFrame:
+    """(key, nid, many): the texts of every bucket that has more than one.  ``nid``, a 64-bit hash of the name,
+    keeps the rows small; two texts that share one are both aligned."""
+    by = known.select(F.xxhash64("node").alias("nid"), F.explode("keys").alias("key"))
+    keys = by.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
+    return written(by.join(keys, "key"), "omh-buckets")
+
+
+def candidates(known: DataFrame, met: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of text names to align first: within a bucket not all pairs, but each text
     with the leaders it agrees with.  What they leave open, ``further`` gives."""
-    by = known.select("node", F.explode("keys").alias("key"))
-    keys = by.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
-    met = by.join(keys, "key").join(known.select("node", "n", "least"), "node")
+    met = met.join(known.select(F.xxhash64("node").alias("nid"), "node", "n", "least"), "nid")
     parts = F.ceil(F.col("many") / SALTED)
     met = met.withColumn("salt", F.when(F.col("many") > SALTED, F.pmod(F.xxhash64("node", "key"), parts)).otherwise(F.lit(0)))
     first = written(_leaders(met, True), "omh-leaders")
@@ -308,26 +314,27 @@ def candidates(known: DataFrame) -> DataFrame:
     return written(pairs.distinct(), "omh-pairs")
 
 
-def further(known: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+def further(known: DataFrame, met: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) still to align after the leaders' ones: texts of one bucket that agree, as
     leaders and theirs do, but are in different classes.  With them every agreeing pair of a
     bucket has been aligned or is linked already."""
-    by = known.select("node", F.explode("keys").alias("key"))
-    many = by.groupBy("key").agg(F.count("*").alias("many")).filter("many > 2")  # two have met
-    by = by.join(many.select("key"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = by.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    met = by.join(open_, "key").join(known.select("node", "n", "least"), "node").select("key", "node", "n", "least", "root")
+    by = met.filter("many > 2").select("key", "nid")  # two have met
+    own = known.select(F.xxhash64("node").alias("nid"), "node", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = written(own, "omh-own")
+    by = by.join(own.select("nid", F.xxhash64("root").alias("rid")), "nid")
+    open_ = by.groupBy("key").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).filter("x <> y").select("key")
+    met = by.select("key", "nid").distinct().join(open_, "key").join(own, "nid").select("key", "node", "n", "least", "root")
 
     def run(batches):
         group, names, used = None, [], 0
         ids: dict = {}
-        sizes, mins, cls = np.zeros(64), np.zeros((64, SKETCHES), np.uint16), np.zeros(64, np.int64)
+        sizes, mins, cls = np.zeros(64), np.zeros((64, SKETCHES), np.uint8), np.zeros(64, np.int64)
         for b in batches:
             out = [[], []]
             for key, node, n, least, root in zip(*[b.column(i).to_pylist() for i in range(5)]):
                 if key != group:
                     group, names, used, ids = key, [], 0, {}
-                m, r = np.frombuffer(least, np.uint16), ids.setdefault(root, len(ids))
+                m, r = np.frombuffer(least, np.uint8), ids.setdefault(root, len(ids))
                 s = sizes[:used]
                 near = np.flatnonzero((cls[:used] != r) & (s >= SIMILARITY * n) & (n >= SIMILARITY * s))
                 near = near[(mins[near] == m).sum(1) >= AGREE]
@@ -389,10 +396,11 @@ def classes(docs: DataFrame) -> DataFrame:
     class_id.  Extra columns play no part; repeated rows are in one class."""
     texts = named(docs.select("doc_id", "text"))
     known = sketches(texts)
-    pairs = candidates(known)
+    met = buckets(known)
+    pairs = candidates(known, met)
     links = written(verified(texts, pairs), "omh-links")
     roots = components(links)
-    more = further(known, roots, pairs)
+    more = further(known, met, roots, pairs)
     if not more.isEmpty():
         roots = components(links.unionByName(verified(texts, more)))
     ids = written(texts.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "omh-ids")
