@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,28 +17,33 @@ from millrace.llm.common import NULL_DOC, WordHashes, parts, scan, scratch_root,
 WINDOW = 50
 ANCHOR = 17
 STEPS = (1,)
-BATCHES = 2
+BATCHES = 3
 
 _hashes = WordHashes()
 
 
-def word_tokens(text: str | None) -> np.ndarray:
-    return _hashes.of(utf8(text).split())
+def word_tokens(text: str | None) -> repeats.Tokens:
+    words = utf8(text).split()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    return repeats.Tokens(_hashes.of(words), b" ".join(words), ends - sizes, ends)
 
 
 class FingerprintIndex:
-    """Immutable runs of fingerprints under one folder, each sorted by fingerprint.
+    """Immutable runs of fingerprints, all partitioned alike by fingerprint into ``buckets`` and sorted within.
 
-    A run holds the anchored ranges of windows of the documents of one batch (see ``repeats``).
-    ``add`` fingerprints a batch, merge-joins it with every run, verifies the matches down to single
-    windows by a second hash, and adds the batch as a new run.  ``compact`` merges the runs into one
-    that has only the smallest document of equal ranges: of those the others decide nothing.
-    ``texts`` is the archive in which a match is verified: a table with the text of every document
-    that was added.  Runs are written once and never changed, so a lost executor costs only its tasks."""
+    A run holds the anchored ranges of windows of the documents of one batch (see ``repeats``).  ``add``
+    fingerprints a batch as a new run and merge-joins it, bucket by bucket, with every older one: history
+    is read in order and not shuffled.  Matches are verified by digests of their words, down to single
+    windows.  ``compact`` merges the runs into one that has only the smallest document of equal
+    ranges: of those the others decide nothing.  ``texts`` is the archive from which ranges that
+    differ are cut into windows: a table with the text of every document that was added.
+    Runs are written once and never changed, so a lost executor costs only its tasks."""
 
-    def __init__(self, spark: SparkSession, texts: DataFrame, root: str | None = None, window: int = WINDOW):
+    def __init__(self, spark: SparkSession, texts: DataFrame, root: str | None = None, window: int = WINDOW, buckets: int | None = None):
         self.spark, self.window = spark, window
         self.root = root or f"{scratch_root(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
         self.texts = self._keyed(texts)
         self.anchor = max(1, window * ANCHOR // WINDOW)
@@ -47,46 +53,42 @@ class FingerprintIndex:
         return repeats.keyed(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)))
 
     def _write(self, rows: DataFrame) -> str:
-        path = f"{self.root}/run-{len(self.runs):04d}-{uuid.uuid4().hex[:8]}"
-        rows.sortWithinPartitions("core").write.option("compression", "zstd").parquet(path)
-        return path
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        rows = rows.repartition(self.buckets, "core")  # one file a bucket
+        rows.write.bucketBy(self.buckets, "core").sortBy("core").option("path", f"{self.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+        return name
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(repeats.ROWS).parquet(path)
+    def _past(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, map(self.spark.table, self.runs))
 
     def add(self, docs: DataFrame) -> list[DataFrame]:
         """Adds a batch; returns tables (doc, t, start, n) of its windows that also start in a document
         of a smaller id, in the batch or before."""
-        path = self._write(repeats.ranges(self._keyed(docs), word_tokens, self.window, self.anchor))
-        fresh = self._read(path)
+        name = self._write(repeats.ranges(self._keyed(docs), word_tokens, self.window, self.anchor))
+        fresh = self.spark.table(name)
         rows = fresh
-        if self.runs:
-            past = self._read(self.runs[0])
-            for p in self.runs[1:]:
-                past = past.unionByName(self._read(p))
-            # the merge join: of history, only ranges whose core the batch has
-            rows = fresh.unionByName(past.join(fresh.select("core").distinct(), "core", "left_semi").select(*fresh.columns))
-            rows = written(rows, "index-met")
+        if self.runs:  # of history, only ranges whose core the batch has
+            cores = fresh.select("core").distinct()
+            met = [self.spark.table(run).join(cores.hint("merge"), "core", "left_semi").select(*fresh.columns) for run in self.runs]
+            rows = written(reduce(DataFrame.unionByName, met, fresh), "index-met")
         found = repeats.repeated(rows, self.texts, word_tokens, self.window, STEPS, earlier=True)
-        self.runs.append(path)
+        self.runs.append(name)
         return found
 
     def compact(self) -> None:
         """Merges all runs; of equal ranges the smallest document's stay (all of them, as it may have several)."""
         if len(self.runs) < 2:
             return
-        rows = self._read(self.runs[0])
-        for p in self.runs[1:]:
-            rows = rows.unionByName(self._read(p))
-        least = rows.groupBy("core", "whole").agg(F.min("doc").alias("doc"))
-        self.runs = [self._write(rows.join(least, ["core", "whole", "doc"], "left_semi").select(*rows.columns).repartition("core"))]
+        rows, key = self._past(), ["core", "w1", "w2"]
+        least = rows.groupBy(*key).agg(F.min("doc").alias("doc"))
+        self.runs = [self._write(rows.join(least, [*key, "doc"], "left_semi").select(*rows.columns))]
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """Spans of words to remove of every document: the table is added to a new index in ``batches``
-    by ascending id.  The result doesn't depend on how many; null ids come last."""
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark, docs, window=window)
+    by ascending id, and compacted before each further one.  The result doesn't depend on how many; null
+    ids come last."""
+    index = FingerprintIndex(docs.sparkSession, docs, window=window)
     cuts = []
     if batches > 1:
         at = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0]
@@ -100,6 +102,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
             part = part.filter(F.col("doc_id") <= high)
         low = high
         found += index.add(part)
+        if high is not None:
+            index.compact()
     return repeats.merged(found, window)
 
 
@@ -133,7 +137,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, batches: int = BATC
 
     A word goes if a window of ``window`` words covers it whose words also start in a document of a
     smaller doc_id.  Rows of one id don't remove each other's words.  A null text has no words, a
-    text shorter than a window keeps all."""
+    text shorter than a window keeps all; an empty table gives no rows.  Columns keep their names within
+    ``row``, so none can clash.  Very long texts go through as ranges of windows, in segments."""
     found = duplicate_spans(docs.select("doc_id", "text"), window, batches)
     doc, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)), F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(doc.alias("doc"), t.alias("t"), "text", F.struct(*docs.columns).alias("row"))

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import repeats
@@ -17,19 +17,26 @@ ANCHOR = 64
 STEPS = (12, 1)
 
 
-def byte_tokens(text: str | None) -> np.ndarray:
-    return BYTE_CODES[np.frombuffer(utf8(text), np.uint8)]
+def byte_tokens(text: str | None) -> repeats.Tokens:
+    data = utf8(text)
+    return repeats.Tokens(BYTE_CODES[np.frombuffer(data, np.uint8)], data)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _keyed(docs: DataFrame, row: Column) -> DataFrame:
+    """(doc, t, text, row): doc and t, hashes of different seeds, together name the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64(F.lit(1), text).alias("doc"), F.xxhash64(text).alias("t"), "text", row.alias("row"))
+
+
+def spans(docs: DataFrame, length: int = LENGTH, anchor: int | None = None, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the runs of bytes of each text that strings of ``length`` bytes cover which also
     start anywhere else, in this text or another, or in another row of the same text.
 
     What is repeated is the text's alone, so spans are by text and repeated rows share them."""
     k = anchor or max(1, length * ANCHOR // LENGTH)
-    texts = repeats.keyed(docs, F.lit(0))
-    rows = written(repeats.ranges(texts, byte_tokens, length, k), "radix-rows")
-    return texts, repeats.merged(repeats.repeated(rows, texts, byte_tokens, length, STEPS, earlier=False), length)
+    texts = _keyed(docs, F.lit(None)).drop("row")
+    rows = written(repeats.ranges(texts, byte_tokens, length, k, bits), "radix-rows")
+    return texts, repeats.merged(repeats.repeated(rows, texts, byte_tokens, length, STEPS, False, bits), length)
 
 
 def cut(data: bytes, starts, ends) -> tuple[int, bytes]:
@@ -42,16 +49,15 @@ def cut(data: bytes, starts, ends) -> tuple[int, bytes]:
     return len(data) - len(left), left
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = 64) -> DataFrame:
     """Every row with n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (binary: a cut may fall
     inside a character).  Other columns of ``docs``, whatever their names, come as a struct ``row``.
 
-    A null text is an empty one: nothing is removed.  A text shorter than ``length`` has no strings.
+    A null text is an empty one: nothing is removed.  A text shorter than ``length`` has no strings; an
+    empty table gives no rows.  Equal texts repeat each other, so both are removed whole if long enough.
     Very long texts are worked on in segments; ranges of windows, never windows, are kept for them."""
-    _, found = spans(docs, length)
-    keyed = docs.select(
-        F.lit(0).cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", F.struct(*docs.columns).alias("row"))
-    both = repeats.with_spans(keyed, found).select("row", "text", "starts", "ends")
+    _, found = spans(docs, length, bits=bits)
+    both = repeats.with_spans(_keyed(docs, F.struct(*docs.columns)), found).select("row", "text", "starts", "ends")
     return both.mapInArrow(_cutter(True), _schema(both, True))
 
 
@@ -82,6 +88,5 @@ def _cutter(keep: bool):
 def op9_radix_suffix(spark, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir).select("doc_id", "text")
     _, found = spans(docs)
-    keyed = docs.select(F.lit(0).cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", F.struct("doc_id").alias("row"))
-    both = repeats.with_spans(keyed, found).select("row", "text", "starts", "ends")
+    both = repeats.with_spans(_keyed(docs, F.struct("doc_id")), found).select("row", "text", "starts", "ends")
     return both.mapInArrow(_cutter(False), _schema(both, False)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -376,9 +376,40 @@ def test_radix_suffix(spark, edge, empty, wide):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = rows(rs.remove_repeats(df).select("row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
     assert got == sorted(((t, *x) for (_, t), x in zip(docs, repeated_bytes([t for _, t in docs]))), key=repr)
+    weak = rs.remove_repeats(df, bits=3)  # eight classes: nearly all cores collide, the bytes decide
+    assert rows(weak.select("row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == got
     assert rs.remove_repeats(empty).count() == 0 and rs.remove_repeats(wide).select("row.*").columns == wide.columns
 
 
+def test_spans_that_are_too_large_to_broadcast(spark, monkeypatch):
+    docs = mixture(6)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(rs.repeats, "BROADCAST_BYTES", 0)
+    got = rows(rs.remove_repeats(df).select("row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == sorted(((t, *x) for (_, t), x in zip(docs, repeated_bytes([t for _, t in docs]))), key=repr)
+    assert rows(fi.remove_duplicates(df).select("row.doc_id", "n_words", "n_removed", "kept_sha256")) == sorted(repeated_words(docs), key=repr)
+
+
+def test_very_long_texts_are_cut(spark):
+    texts = [LONG, LONG + " end", "start " + LONG[1000:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(fi.remove_duplicates(df).select("row.doc_id", "n_words", "n_removed", "kept_sha256")) == sorted(repeated_words(list(enumerate(texts))), key=repr)
+    short = [t[:60_000] for t in texts]
+    df = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    got = rows(rs.remove_repeats(df).select("row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == sorted(((t, *x) for t, x in zip(short, repeated_bytes(short))), key=repr)
+
+
+def test_history_is_not_shuffled(spark, capsys):
+    df = spark.createDataFrame([d for d in mixture(7) if d[0] is not None], "doc_id long, text string")
+    index = fi.FingerprintIndex(spark, df, buckets=3)
+    index.add(df.filter("doc_id < 30"))
+    cores = spark.table(index._write(fi.repeats.ranges(index._keyed(df.filter("doc_id >= 30")), fi.word_tokens, 50, index.anchor))).select("core").distinct()
+    spark.table(index.runs[0]).join(cores.hint("merge"), "core", "left_semi").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_fingerprint_index(spark, empty, wide, batches):
     docs = mixture(4)
