@@ -131,31 +131,40 @@ def sample(docs: DataFrame, most: int = TRAIN_DOCS):
     rows = labelled.select("lang", "text", h.alias("h")).join(F.broadcast(counts) if few else counts, "lang")
     rows = rows.filter(F.col("h").bitwiseAND(F.lit(2**31 - 1)).cast("double") * F.col("many") < F.lit(2.0 * most * 2**31))
     n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return rows.withColumn("n", n).filter(F.col("n") <= most).select("lang", "text", "n").orderBy("lang", "n")
+    return rows.withColumn("n", n).filter(F.col("n") <= most).select("lang", "text", "n")
 
 
 def train(docs: DataFrame) -> ByteCNN | None:
-    """Learns from ``text`` and non-null ``lang`` of the given rows; None if there are none."""
-    x, y, names = [], [], []
-    for r in sample(docs).toLocalIterator():
-        if not LETTER.search(r["text"]):
-            continue
-        if not names or names[-1] != r["lang"]:
-            names.append(r["lang"])
-        w = windows_of(utf8(r["text"]))
-        pick = np.random.default_rng(len(x)).permutation(len(w))[:TRAIN_WINDOWS]
-        x.append(w[pick])
-        y += [len(names) - 1] * len(pick)
-    if not names:
+    """Learns from ``text`` and non-null ``lang`` of the given rows; None if none has a letter.
+
+    Only the drawn windows come to the driver: languages * TRAIN_DOCS * TRAIN_WINDOWS * WINDOW bytes at most."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for lang, text, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if LETTER.search(text):
+                    w = windows_of(utf8(text))
+                    out.append((lang, n, w[np.random.default_rng(n).permutation(len(w))[:TRAIN_WINDOWS]].tobytes()))
+            kinds = (pa.string(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 3, kinds)], ["lang", "n", "drawn"])
+
+    rows = sorted(sample(docs).mapInArrow(run, "lang string, n int, drawn binary").collect())
+    if not rows:
         return None
-    return ByteCNN(names).fit(np.concatenate(x), np.array(y))
+    names = sorted({r["lang"] for r in rows})
+    x = [np.frombuffer(r["drawn"], np.uint8).reshape(-1, WINDOW) for r in rows]
+    y = np.repeat([names.index(r["lang"]) for r in rows], [len(w) for w in x])
+    return ByteCNN(names).fit(np.concatenate(x), y)
 
 
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row.  Whole texts, in windows of fixed length.
 
     A null text or one without a letter is ``und`` with score 0, as is everything if nothing was
-    learned.  Rows are independent: repeated rows and ids give repeated results."""
+    learned.  Rows are independent: repeated rows and ids give repeated results, an empty table none.  Very long
+    texts are cut into windows like others; of tied languages the first by name.  Columns other than doc_id and
+    text play no part, whatever their names."""
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     spark = docs.sparkSession

@@ -35,8 +35,7 @@ def items_of(benchmark: DataFrame, at_least: float = CONTAINMENT) -> DataFrame:
 
     A text that contains ``at_least`` of an item's n shingles lacks n - need of them at most, so it
     has one of any n - need + 1: of the least by hash, the item's MinHash sketch.  Items are
-    partitioned by size in powers of two; ``cut`` is the largest hash in any sketch of a partition,
-    and shingles of documents above the largest cut need not be looked up at all."""
+    partitioned by size in powers of two (``part``): what follows for a partition's search is in ``reach``."""
     i = benchmark.select("item_id", words().alias("w")).select("item_id", _texts().alias("shingles"), _hashes().alias("h"))
     i = i.filter(F.size("shingles") > 0).select("item_id", "shingles", F.size("shingles").alias("n"), F.expr("sort_array(array_distinct(h))").alias("h"))
     i = i.withColumn("need", F.ceil(F.col("n") * F.lit(at_least) - F.lit(1e-9)).cast("int"))
@@ -44,6 +43,13 @@ def items_of(benchmark: DataFrame, at_least: float = CONTAINMENT) -> DataFrame:
     return i.withColumn("sketch", F.expr("slice(h, 1, n - need + 1)")).drop("h")
 
 
+def reach(items: DataFrame) -> list[tuple[int, int]]:
+    """Of each partition in order of size (least need, largest hash in a sketch).  Only documents of ``need``
+    shingles or more can contain one of its items, and only shingles up to that hash are in its sketches."""
+    p = items.groupBy("part").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("cut"))
+    return [(r["need"], r["cut"]) for r in p.orderBy("part").collect()]  # 31 rows at most
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, at_least: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment): documents that contain at least
     ``at_least`` of an item's distinct five-word shingles; words are compared as they are.
@@ -51,27 +57,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, at_least: float = CONTAINMENT)
     Items of fewer than five words and null texts have no shingles: they are found nowhere and contain
     nothing.  Items of one id but different texts are searched each, repeated item rows once; of
     repeated document rows each distinct one counts once.  Long documents are searched whole: the
-    search is by shingle, so their length plays no part."""
+    search is by shingle, so their length plays no part.  Empty tables give no rows; columns other than those
+    named play no part, whatever their names."""
     items = written(items_of(benchmark.select("item_id", "text").distinct(), at_least).withColumn("key", F.xxhash64("item_id", "shingles")), "leak-items")
-    sketch = items.select("key", "part", F.explode("sketch").alias("hash"))
-    cuts = sketch.groupBy("part").agg(F.max("hash").alias("cut"))
-    cut = cuts.agg(F.max("cut")).first()[0]  # one number
+    sketch = items.select("key", "need", F.explode("sketch").alias("hash"))
     text = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     text = text.withColumn("name", F.xxhash64("text"))
-    if cut is None:
-        cut = -(2**63)
-    own = text.select("doc_id", "name", words().alias("w")).select("doc_id", "name", F.explode(_hashes()).alias("hash")).filter(F.col("hash") <= F.lit(cut))
-    sketch = sketch.join(cuts, "part").filter(F.col("hash") <= F.col("cut")).select("key", "hash")
+    # a document looks in the partitions whose items it is large enough for
+    m, cut = F.size("h"), F.lit(-(2**63))
+    for need, most in reach(items):
+        cut = F.when(m >= need, F.greatest(cut, F.lit(most))).otherwise(cut)
+    # each in a generator: filters can't be pushed below one, where they would work the arrays out anew
+    own = text.select("doc_id", "name", F.explode(F.array(words())).alias("w")).select("doc_id", "name", F.explode(F.array(_hashes())).alias("h"))
+    own = own.select("doc_id", "name", m.alias("m"), cut.alias("cut"), F.explode("h").alias("hash")).filter("hash <= cut").drop("cut")
     if sketch.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
         sketch = F.broadcast(sketch)
-    found = written(own.join(sketch, "hash").select("doc_id", "name", "key").distinct(), "leak-candidates")
+    found = written(own.join(sketch, "hash").filter("m >= need").select("doc_id", "name", "key").distinct(), "leak-candidates")
     pairs = found.join(items.select("key", "item_id", "shingles", "n", "need"), "key")
     names = found.select("name").distinct()
     if names.count() <= BROADCAST_DOCS:
         names = F.broadcast(names)
     # the texts of candidates only, once each
     some = text.select("name", "text").join(names, "name", "left_semi").dropDuplicates(["name"])
-    both = pairs.join(some.select("name", words().alias("w")).select("name", _texts().alias("have")), "name")
+    both = pairs.join(some.select("name", F.explode(F.array(words())).alias("w")).select("name", _texts().alias("have")), "name")
     both = both.withColumn("n_shared", F.size(F.array_intersect("shingles", "have")))
     return both.filter(F.col("n_shared") >= F.col("need")).select(
         "doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_shared").cast("long").alias("n_shared"),
@@ -80,10 +88,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, at_least: float = CONTAINMENT)
 
 def clean(docs: DataFrame, benchmark: DataFrame, at_least: float = CONTAINMENT) -> DataFrame:
     """The rows of ``docs`` that contain no item, null texts among them."""
-    hit = written(leaks(docs, benchmark, at_least).select("name").distinct().withColumnRenamed("name", "__leak"), "leak-names")
+    hit = written(leaks(docs, benchmark, at_least).select("name").distinct(), "leak-names")
     if hit.count() <= BROADCAST_DOCS:
         hit = F.broadcast(hit)
-    return docs.join(hit, F.xxhash64(docs["text"]) == hit["__leak"], "left_anti")
+    have = docs.select(F.xxhash64("text").alias("name"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return have.join(hit, "name", "left_anti").select("row.*")
 
 
 def op7_containment(spark, sf_dir: str) -> DataFrame:

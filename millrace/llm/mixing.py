@@ -64,7 +64,8 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
     one whose words come nearest to its target, the smallest at a tie.  All of it is sums by source
     with map-side combining, so a hot source costs one row per task and seed.
     Nulls: a null source is a source of its own, a null doc_id draws as an empty id.  Documents
-    without words are taken by the same rule and add no words."""
+    without words are taken by the same rule and add no words.  Repeated rows and rows of one id draw alike;
+    an empty table gives no rows.  Only these three columns are read."""
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = source_targets(sizes, weights, share, most)
     t = t.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
@@ -94,19 +95,22 @@ def sized(documents: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, **how) -> DataFrame:
     """The mixture itself: every row of ``documents`` as often as it is taken, with copy = 1, 2, ...
 
-    Any other columns pass through.  Rows are never joined with each other: the numbers are by
-    source and the draw by id, so repeated rows each count and are each taken."""
+    Any other columns pass through, whatever their names; where ``copy`` is one of them, the number's column is
+    called copy_ (or copy__ and so on).  Rows are never joined with each other: the numbers are by
+    source and the draw by id, so repeated rows each count and are each taken.  Null texts have no
+    words, a null source is a source; an empty table gives no rows.  Texts may be of any length."""
+    number = "copy"
+    while number in documents.columns:
+        number += "_"
     # sizes are worked out over the slim projection; the wide rows meet only the table of sources
-    n = "__size"
-    wide = documents.withColumn(n, word_count(F.col("text")))
-    slim = written(wide.select("doc_id", "source", F.col(n).alias("size")), "mix-sizes")
-    plan = copies(slim, **how).select("source", "rate", "fraction", "seed", "source_size", "target").dropDuplicates(["source"])
-    plan = written(plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns}), "mix-plan")
+    wide = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), "doc_id", "source")
+    plan = copies(written(sized(documents), "mix-sizes"), **how)
+    plan = plan.select(F.col("source").alias("of"), "rate", "fraction", "seed").dropDuplicates(["of"])
+    plan = written(plan, "mix-plan")
     small = plan.count() <= BROADCAST_SOURCES
-    j = wide.join(F.broadcast(plan) if small else plan, wide["source"].eqNullSafe(plan["__source"]), "left")
-    k = (F.floor("__rate") + (draw(F.col("doc_id"), F.col("__seed")) < F.col("__fraction")).cast("long")).cast("int")
-    j = j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(k, F.lit(1)))))
-    return j.filter(k > 0).select(*documents.columns, "copy")
+    j = wide.join(F.broadcast(plan) if small else plan, wide["source"].eqNullSafe(plan["of"]), "left")
+    k = (F.floor("rate") + (draw(F.col("doc_id"), F.col("seed")) < F.col("fraction")).cast("long")).cast("int")
+    return j.filter(k > 0).select("row", F.explode(F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).alias("copy")).select("row.*", F.col("copy").alias(number))
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

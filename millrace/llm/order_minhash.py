@@ -393,7 +393,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     A null text is near nothing, its class_id is its own doc_id and its node null.  Texts of fewer
     than five words (empty ones too) are only equal or not.  A class without a doc_id has a null
-    class_id.  Extra columns play no part; repeated rows are in one class."""
+    class_id.  Extra columns play no part, whatever their names; repeated rows are in one class; an empty
+    table gives no rows.  Texts of any length are aligned whole."""
     texts = named(docs.select("doc_id", "text"))
     known = sketches(texts)
     met = buckets(known)
@@ -415,15 +416,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one of the smallest doc_id, null texts all.
 
     Rows that are equal in doc_id and text are one document, of which one row stays; of texts
-    that share the smallest doc_id, or have none, the least by MD5."""
+    that share the smallest doc_id, or have none, the least by MD5.  Other columns pass through, whatever
+    their names; an empty table stays empty."""
     got = classes(docs).filter(F.col("node").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     keep = got.groupBy("root").agg(first).select("first.*")
-    keep = written(keep.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")), "omh-kept")
-    have = docs.withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    on = have["doc_id"].eqNullSafe(keep["__id"]) & (have["__node"] == keep["__node"])
-    stay = have.join(keep, on, "left_semi")
-    stay = stay.dropDuplicates(["doc_id", "__node"]).drop("__node")
+    keep = written(keep.select("doc_id", "node"), "omh-kept")
+    have = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    on = have["doc_id"].eqNullSafe(keep["doc_id"]) & (have["node"] == keep["node"])
+    stay = have.join(keep, on, "left_semi").dropDuplicates(["doc_id", "node"]).select("row.*")
     return stay.unionByName(docs.filter(F.col("text").isNull()))
 
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import os
 import re
+import secrets
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import parts, scan
 
-KEY = "millrace-surrogates"
+#: Where the secret is configured; without one, a session makes its own, and what it replaced can't be undone later.
+KEY_CONF, KEY_ENV = "spark.millrace.surrogates.key", "MILLRACE_SURROGATES_KEY"
 ROUNDS = 8
 KNOWN = 100_000  # surrogates a task remembers
 
@@ -52,7 +55,7 @@ _GIVEN = (
 _NAMED = rf"(?:{'|'.join(sorted(set(_GIVEN), key=len, reverse=True))})"
 _H = "[0-9A-Fa-f]{1,4}"
 _KEY = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|sk-|xox[abprs]-|AIza|hf_|npm_"
-ENTITY = re.compile(
+_DATA = (
     rf"(?P<email>[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
     rf"|(?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
     rf"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?![0-9A-Za-z])"
@@ -66,11 +69,18 @@ ENTITY = re.compile(
     rf"|\([0-9]{{2,4}}\) ?[0-9]{{3,4}}[ .\-][0-9]{{3,4}}(?!\d)|(?<![\d.\-])[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}(?!\d)"
     rf"|(?<![\w.\-+/])0[1-9](?:[ .\-][0-9]{{2}}){{4}}(?!\d)|(?<![\w.\-+/])\(?0[1-9][0-9]{{1,4}}\)?[ /\-][0-9]{{3,4}}[ \-][0-9]{{3,4}}(?!\d)"
     rf"|(?<![\w.\-+/])\(?0[1-9][0-9]{{1,4}}\)?[ /][0-9]{{6,8}}(?!\d))"
-    rf"|(?P<name>(?<!\w)(?:(?P<m>{_TITLE_M})|(?P<f>{_TITLE_F})|Dr|Prof)\.? (?P<who>{_WHO})"
+)
+_NAME = (
+    rf"(?P<name>(?<!\w)(?:(?P<m>{_TITLE_M})|(?P<f>{_TITLE_F})|Dr|Prof)\.? (?P<who>{_WHO})"
     rf"|(?<!\w)(?P<given>{_NAMED}(?: {_UP}\.)?[ \-]{_WHO}))"
 )
-#: Texts without any of these have nothing to find.
-HINT = re.compile(rf"[0-9@]|(?:{_KEY})[A-Za-z_\-]{{16}}|::|(?<!\w)(?:(?:{_TITLE_M}|{_TITLE_F}|Dr|Prof)\.? [^\W\d_]|{_NAMED}[ \-])")
+#: Of the first of these that is met, emails first; texts with data or names only are searched for those only.
+ENTITY, DATA, NAME = re.compile(f"{_DATA}|{_NAME}"), re.compile(_DATA), re.compile(_NAME)
+#: Data have a digit or an @, the beginning of a key, or two colons; names a title or a given name among the words
+#: that begin with a capital (or with another letter than a small Latin one).
+_DIGIT, _CAPITALIZED = re.compile("[0-9@]"), re.compile("[^\\W\\d_a-zß-öø-ÿ]\\w+")
+_BEGINS = (*(k.replace("gh[pousr]_", "gh").replace("xox[abprs]-", "xox") for k in _KEY.split("|")), "::")
+_NAME_WORDS = frozenset(_GIVEN) | frozenset(f"{_TITLE_M}|{_TITLE_F}|Dr|Prof|Herr".replace("Herrn?", "Herrn").split("|"))
 #: Calling codes of one and two digits; all others have three.
 _CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3}")
 
@@ -94,7 +104,7 @@ class Surrogates:
     shape have different surrogates, no original stands for itself, and an original has the same
     surrogate wherever it occurs.  The shape (length, script, kind of each character, separators) stays."""
 
-    def __init__(self, key: str = KEY):
+    def __init__(self, key: str):
         self.key = hashlib.sha256(key.encode()).digest()
         self.known: dict = {}
 
@@ -244,9 +254,6 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in flat)) % 97
 
 
-_KINDS = ("email", "iban", "secret", "card", "ssn", "ip6", "ip", "phone")
-
-
 def _is_ip6(s: str) -> bool:
     try:
         return bool(ipaddress.IPv6Address(s))
@@ -257,11 +264,15 @@ def _is_ip6(s: str) -> bool:
 def entities(text: str | None):
     """(kind, start, end) of what is found, in order; kinds are tried in the order of ``ENTITY``.  Words of
     a name are found wherever else in the text they stand."""
-    if text is None or not HINT.search(text):
+    if text is None:
+        return []
+    data = _DIGIT.search(text) or any(k in text for k in _BEGINS)
+    names = not _NAME_WORDS.isdisjoint(_CAPITALIZED.findall(text))
+    if not data and not names:
         return []
     found, words = [], set()
-    for m in ENTITY.finditer(text):
-        kind = next((k for k in _KINDS if m[k] is not None), "name")
+    for m in (ENTITY if data and names else DATA if data else NAME).finditer(text):
+        kind = m.lastgroup  # the outermost
         if kind == "ip6" and not _is_ip6(m[0]):
             continue
         a, z = m.span("who" if m["who"] else "given") if kind == "name" else m.span()
@@ -287,12 +298,25 @@ def replaced(text: str | None, s: Surrogates) -> tuple[str | None, int]:
     return ("".join([*out, text[at:]]), n) if n else (text, 0)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with every detected entity in ``text`` replaced, and if ``count`` names a column, how many.
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret from the session's configuration or the environment; otherwise the session gets one of its own."""
+    key = spark.conf.get(KEY_CONF, None) or os.environ.get(KEY_ENV)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, key)
+    return key
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None, count: str | None = None) -> DataFrame:
+    """``docs`` with every detected entity in ``text`` replaced, and if ``count`` names a column, how many; a
+    column of that name is replaced.
 
     Nulls stay null, empty texts empty, texts without entities as they are; other columns pass
-    through and repeated rows repeat.  Rows are independent: the key alone decides, nothing is
+    through whatever their names, repeated rows repeat, an empty table stays empty.  Texts of any length are
+    searched whole, and memory follows the longest.  Rows are independent: the key alone decides, nothing is
     shuffled, and a rerun of a lost task gives the same."""
+    key = key or surrogate_key(docs.sparkSession)
+    docs = docs.drop(count) if count else docs
     cols = docs.columns
     at_text = cols.index("text")
 
@@ -327,10 +351,11 @@ def _plain(kind: str, s: str) -> str:
     return str(ipaddress.IPv6Address(s)) if kind == "ip6" else s.lower().replace(" ", "")
 
 
-def ledger(docs: DataFrame, key: str = KEY) -> DataFrame:
+def ledger(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(kind, original, surrogate, o, s), each once: what was found and what stands for it, names by the
     word; o and s are both without case and separators.  This table undoes the replacement, so it is as
     secret as the key."""
+    key = key or surrogate_key(docs.sparkSession)
 
     def run(batches):
         s = Surrogates(key)
@@ -356,8 +381,9 @@ def collisions(book: DataFrame) -> DataFrame:
     return n.filter("n > 1 OR why = 'unchanged'").select("kind", "s", "why")
 
 
-def checked(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
+def checked(docs: DataFrame, key: str | None = None, count: str | None = None) -> DataFrame:
     """``pseudonymize`` after its ledger was checked."""
+    key = key or surrogate_key(docs.sparkSession)
     wrong = collisions(ledger(docs, key)).groupBy("kind", "why").count().collect()
     if wrong:
         raise ValueError(f"surrogates are not one-to-one: {[tuple(r) for r in wrong]}")

@@ -49,25 +49,23 @@ def measured(docs: DataFrame) -> DataFrame:
     a word that equal an earlier line), n_lines (lines with a word), n_repeat_words (words in five-word windows
     that the text has twice or more; windows are compared by 64-bit hashes within one text),
     n_upper, n_lower.  A null text measures as an empty one: all zero.  Everything stays within the
-    row: no shuffle, and a very long text costs n log n."""
+    row: no shuffle, and a very long text costs n log n.  Repeated rows repeat; no rows, no rows."""
     keep = [c for c in docs.columns if c not in _MEASURES]
-    w = docs.select(*keep, F.expr(_WORDS).alias("__w"), F.expr(_LINES).alias("__l"))
-    n = WINDOW - 1
+    w = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("t"), F.expr(_WORDS).alias("__w"), F.expr(_LINES).alias("__l"))
     # sequence() would count down for short texts
     h = f"""CASE WHEN size(__w) < {WINDOW} THEN cast(array() as array<bigint>)
-            ELSE transform(sequence(0, size(__w) - {WINDOW}), i -> xxhash64({", ".join(f"__w[i + {k}]" for k in range(n + 1))})) END"""
+            ELSE transform(sequence(0, size(__w) - {WINDOW}), i -> xxhash64({", ".join(f"__w[i + {k}]" for k in range(WINDOW))})) END"""
     w = w.withColumn("__windows", F.expr(h))
-    text = F.coalesce(F.col("text"), F.lit(""))
     return w.select(
-        *keep,
+        "row.*",
         F.size("__w").cast("long").alias("n_words"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").cast("long").alias("n_lines"),
         F.expr(_COVERED).cast("long").alias("n_repeat_words"),
-        F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count(text, F.lit("\\p{Ll}")).cast("long").alias("n_lower"),
+        F.regexp_count("t", F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
+        F.regexp_count("t", F.lit("\\p{Ll}")).cast("long").alias("n_lower"),
     )
 
 
@@ -78,9 +76,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     """``docs`` with measurements and ``fail_bits``: every rule evaluated once, its bit set if it fails.
 
     The bits come out of a generator: a policy's filter can't be pushed below it, where each of its
-    mentions of a measurement would be worked out anew."""
+    mentions of a measurement would be worked out anew.  A column ``fail_bits`` of ``docs`` is replaced."""
     bits = [f"IF({sql}, {1 << b}L, 0L)" for b, (_, sql) in RULES.items()]
-    return measured(docs).select("*", F.explode(F.array(F.expr(" | ".join(bits)))).alias("fail_bits"))
+    return measured(docs.drop("fail_bits")).select("*", F.explode(F.array(F.expr(" | ".join(bits)))).alias("fail_bits"))
 
 
 def rejected(fail_bits: Column, policy: int = POLICY) -> Column:

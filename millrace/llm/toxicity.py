@@ -44,6 +44,14 @@ def windows_of(data: bytes) -> list[bytes]:
     return out
 
 
+def spread(data: bytes, most: int) -> bytes:
+    """All of ``data``, or stretches of it at equal distances, ``most`` bytes in all."""
+    if len(data) <= most:
+        return data
+    each = 256
+    return b"".join(data[i : i + each] for i in np.linspace(0, len(data) - each, most // each).astype(int).tolist())
+
+
 class Distance:
     """Both dictionaries, the known words and the calibrated weights; plain data, so it can be shipped.
 
@@ -122,7 +130,7 @@ def fit(texts: list, y: np.ndarray) -> Distance:
     rest, total = [], 0
     for t, p, label in zip(texts, part, y):
         if p and label == 0 and total < ORDINARY_BYTES:
-            rest.append(b" ".join(w for w in words_of(t) if w not in known)[: ORDINARY_BYTES // 16])
+            rest.append(spread(b" ".join(w for w in words_of(t) if w not in known), ORDINARY_BYTES // 16))
             total += len(rest[-1]) + 1
     model = Distance(b" ".join(rest)[:ORDINARY_BYTES] or b" " * 8, b" " + b" ".join(segments) + b" ", known)
     model.calibrate([t for t, p in zip(texts, part) if not p], y[~part])
@@ -131,17 +139,19 @@ def fit(texts: list, y: np.ndarray) -> Distance:
 
 def train(docs: DataFrame, labels: DataFrame) -> Distance:
     """From at most ``MOST_LABELLED`` labelled documents.  A null label is none; of several for one
-    document the highest counts.  With one class only, every score is its share."""
+    document the highest counts, of several texts of one id the least.  With one class only, every score is
+    its share.  Ties of hashes are settled by id.  Without labelled rows every score is 0."""
     y = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)  # a bounded number of ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").limit(2 * MOST_LABELLED).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()  # a row for each id
     rows.sort(key=lambda r: (str(r["doc_id"])[::-1], r["text"] or ""))
     return fit([r["text"] for r in rows], np.array([int(r["y"] == 1) for r in rows], int))
 
 
 def score(docs: DataFrame, model: Distance) -> DataFrame:
     """(doc_id, score) of every row, over its whole text in windows.  Null and empty texts get the
-    score of a text without windows; repeated rows repeat."""
+    score of a text without windows; repeated rows repeat; an empty table gives no rows.  Very long texts are
+    cut into windows like others.  Columns other than doc_id and text play no part, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the constants above
 
     def run(batches):

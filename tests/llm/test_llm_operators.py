@@ -19,7 +19,9 @@ EDGE = [
     (3, "", None, "b", 0), (None, "one two three four five six seven", "fr", "a", 3), (4, " \n\t ", "de", None, 3), (5, LONG, "en", "a", len(LONG)), (6, "a b", None, None, None),
 ]
 #: Columns of an operator's own names beside those that it reads.
-CLASHES = ["size", "node", "t", "doc", "n_words", "windows", "target", "copy_", "key", "rid", "row", "name"]
+CLASHES = [
+    "size", "node", "t", "doc", "n_words", "windows", "target", "copy", "copy_", "key", "rid", "row", "name", "fail_bits", "n_entities", "rate", "seed", "of", "__w", "__l",
+    "__id", "__node", "__leak", "root", "learn", "hash", "m", "cut", "starts", "kept", "score", "lang_pred", "class_id"]
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +48,23 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def test_clashing_columns_pass_through(spark, edge, wide):
+    """Every operator that hands rows on, run: the same rows with their own columns, and as many as without clashes."""
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").withColumn("part", F.lit("x"))
+    own = [c for c in CLASHES if c not in ("fail_bits", "n_entities", "n_words")]
+    for name, f in {
+        "quality": quality.quality_filter, "ledger": quality.ledger, "dedup": om.dedup, "clean": lambda d: containment.clean(d, bench),
+        "pii": lambda d: pii.checked(d, count="n_entities"), "mix": mixing.mix,
+        "repeats": lambda d: rs.remove_repeats(d).select("row.*"), "index": lambda d: fi.remove_duplicates(d).select("row.*"),
+    }.items():
+        got = f(wide).collect()
+        assert len(got) == f(edge).count(), name
+        assert all(r[c] == f"x{CLASHES.index(c)}" for r in got for c in own), name
+    for f in (lambda d: mixing.copies(mixing.sized(d)), lambda d: toxicity.score(d, toxicity.Distance(b"", b"", frozenset())), om.classes,
+              lambda d: containment.leaks(d, bench), lambda d: st.score(d, F.lit(True)), lambda d: byte_cnn.identify(d, byte_cnn.train(d))):
+        assert rows(f(wide)) == rows(f(edge))
+
+
 # 1
 
 
@@ -78,7 +97,7 @@ def test_mixing(spark, edge, empty, wide):
     g = p.groupby("source", dropna=False).agg(t=("target", "first"), k=("taken", "sum"), r=("rate", "first"))
     assert ((g.k - g.t).abs() <= 0.02 * g.t + 40).all() and (p.copies <= 2).all() and ((p.copies - np.floor(p.rate)).isin([0, 1])).all()
     assert rows(df.select("doc_id", "copies")) == rows(mixing.copies(mixing.sized(spark.createDataFrame(docs, SCHEMA))).select("doc_id", "copies"))
-    assert mixing.mix(wide).columns == [*wide.columns, "copy"]
+    assert mixing.mix(wide).columns == [*wide.columns, "copy__"]
     n = mixing.mix(spark.createDataFrame(docs, SCHEMA)).groupBy("doc_id").agg(F.max("copy").alias("c"))
     assert dict(rows(n)) == {i: c for i, c in zip(p.doc_id, p.copies) if c}
     assert mixing.mix(empty).count() == 0 and mixing.copies(mixing.sized(edge)).count() == len(EDGE)
@@ -546,6 +565,75 @@ def test_table():
     assert not v.any() and sorted(none) == [0, 1, 2]
 
 
+def test_size_partitions_prune(spark):
+    """A document looks only in partitions whose items it can hold, and every contained item is found."""
+    r = random.Random(9)
+    word = lambda k: f"v{r.randrange(k)}"
+    items = [(i, " ".join(word(50) for _ in range(r.choice([5, 6, 9, 20, 70, 200])))) for i in range(40)]
+    docs = []
+    for i in range(120):
+        t = [word(50) for _ in range(r.choice([0, 3, 30]))]
+        for k in r.sample(range(40), r.randint(0, 2)):
+            w = items[k][1].split()
+            t += w[: max(1, int(len(w) * r.choice([0.5, 0.85, 0.95, 1])))]
+        docs.append((i, " ".join(t)))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    want = sorted((d, i) for d, t in docs for i, x in items if grams(x) and 10 * len(grams(x) & grams(t)) >= 8 * len(grams(x)))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(want) > 40 and sorted((r["doc_id"], r["item_id"]) for r in containment.leaks(df, b).collect()) == want
+    reach = containment.reach(containment.items_of(b))
+    assert [n for n, _ in reach] == sorted(n for n, _ in reach) and len(reach) > 3
+
+
+def test_joins_instead_of_broadcasts(spark, monkeypatch, sf, same):
+    """Sides beyond the bounds are shuffled, with the same rows."""
+    monkeypatch.setattr(containment, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(containment, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    for name in ("op1_mix_sources", "op7_containment"):
+        same(QUERIES[name](spark, sf), ORACLES[name])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = rows(om.classes(docs).select("doc_id", "class_id"))
+    monkeypatch.setattr(om, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(byte_cnn, "BROADCAST_LANGUAGES", 0)
+    assert rows(om.classes(docs).select("doc_id", "class_id")) == few and byte_cnn.train(docs) is not None
+
+
+def test_ablations(spark):
+    """Bits 0b001, 0b011, 0b010, 0: by hand."""
+    book = spark.createDataFrame([(1,), (3,), (2,), (2,), (0,)], "fail_bits long")
+    got = {r["rule"]: (r["n_failed"], r["n_failed_alone"], r["n_rejected_without"]) for r in quality.ablations(book, 1).collect()}
+    assert got == {"few_words": (2, 1, 3), "repeated_words": (3, 2, 2)}
+
+
+def test_surrogate_key_is_configured(spark, monkeypatch):
+    key = pii.surrogate_key(spark)
+    assert len(key) >= 32 and pii.surrogate_key(spark) == key
+    df = spark.createDataFrame([("Mr. John Smith",)], "text string")
+    mine = pii.pseudonymize(df).first()[0]
+    spark.conf.set(pii.KEY_CONF, "another")
+    assert pii.pseudonymize(df).first()[0] != mine
+    spark.conf.unset(pii.KEY_CONF)
+    monkeypatch.setenv(pii.KEY_ENV, "third")
+    assert pii.surrogate_key(spark) == "third"
+
+
+def test_pipeline_on_edges(spark, wide, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and an empty table go through all stages."""
+    import corpus_pipeline as c
+
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (wide, empty):
+        for name, stage in c.STAGES:
+            cols = docs.columns
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns[: len(cols)] == cols
+            docs.collect()
+        assert docs.count() == 0  # too short, or repetitive
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
     from millrace.llm.common import written
