@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import canonical, digest, hmac, number, pick, seeded
@@ -110,6 +110,14 @@ def _as_in(original: Column, new: Column) -> Column:
     return F.when((first == F.lower(first)) & (first != F.upper(first)), F.lower(new)).otherwise(new)
 
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letter(digest: Column) -> Column:
+    n = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % len(_ALPHABET)
+    return F.substring(F.lit(_ALPHABET), (n + 1).cast("int"), F.lit(1))
+
+
 def mask_name(c: Column, seed: object = 0, style: str = "full") -> Column:
     """``full``: a given and a family name by hash, small where the original starts small; ``initials``;
     ``random``: letters and digits by hash, as long as the trimmed value.  Blank values stay."""
@@ -119,7 +127,7 @@ def mask_name(c: Column, seed: object = 0, style: str = "full") -> Column:
     elif style == "initials":
         new = F.concat(F.array_join(F.transform(F.split(t, r"\s+"), lambda w: F.upper(F.substring(w, 1, 1))), "."), F.lit("."))
     elif style == "random":
-        new = F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), t, F.lit(":"), i.cast("string")), 256), 1, 1)), "")
+        new = F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: _letter(F.sha2(F.concat(F.lit(f"{seed}:"), t, F.lit(":"), i.cast("string")), 256))), "")
     else:
         raise ValueError(f"unknown name style: {style}")
     return F.when(t.isNull(), F.lit(None)).when(t == "", canonical(c)).otherwise(new)
@@ -139,16 +147,18 @@ DATE_FORMS = (
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"), (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
     (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"), (r"^\d{2}\.\d{2}\.\d{4}$", "dd.MM.yyyy"), (r"^\d{8}$", "yyyyMMdd"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"), (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^[A-Z][a-z]{2,8} \d{2}, \d{4}$", "MMMM dd, yyyy"), (r"^\d{2} [A-Z][a-z]{2} \d{4}$", "dd MMM yyyy"),
 )
 
 
-def mask_date_text(c: Column, seed: object = 0, keep: str = "none", jitter_days: int = 30) -> Column:
-    """A date in text, in the first form that it has, masked and written in that form; other text stays."""
+def mask_date_text(c: Column, seed: object = 0, keep: str = "none", jitter_days: int = 30, output_format: str | None = None) -> Column:
+    """A date in text, in the first form that it has, masked and written in that form or in ``output_format``; other
+    text stays."""
     t = F.trim(canonical(c))
     out = None
     for pattern, form in DATE_FORMS:
         parsed = F.try_to_timestamp(t, F.lit(form))
-        new = F.date_format(mask_date(parsed, seed, keep, jitter_days), form)
+        new = F.date_format(mask_date(parsed, seed, keep, jitter_days), output_format or form)
         hit = t.rlike(pattern) & parsed.isNotNull()
         out = F.when(hit, new) if out is None else out.when(hit, new)
     return out.otherwise(canonical(c))
@@ -170,6 +180,33 @@ def mask_address(c: Column, seed: object = 0, preserve: tuple = ("city", "countr
     return F.when(t.isNull(), F.lit(None)).when(F.trim(t) == "", t).when(F.size(parts) < 2, whole).otherwise(F.concat_ws(", ", *out))
 
 
+def mask_address_json(c: Column, seed: object = 0, preserve: tuple = ("city", "country")) -> Column:
+    """A JSON object of street, city, state, zip and country, field by field; other fields stay, other text too."""
+    j = F.from_json(canonical(c), "map<string,string>")
+
+    def field(k, v):
+        new = F.when(k == "street", F.concat((1 + number(seeded(v, seed), 9, 4) % 999).cast("string"), F.lit(" "), pick(v, seed, STREETS)))
+        new = new.when(k == "city", pick(v, seed, CITIES)).when(k == "state", pick(v, seed, STATES))
+        new = new.when(k == "zip", F.lpad((number(seeded(v, seed)) % 100000).cast("string"), 5, "0"))
+        return F.when(k.isin(*preserve) | v.isNull(), v).otherwise(F.coalesce(new, v))
+
+    return F.when(F.size(j) > 0, F.to_json(F.transform_values(j, field))).otherwise(canonical(c))
+
+
+def masking_quality(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """(column_name, n_rows, null_changed, unchanged, split, merged) of columns and their masked forms, column ->
+    masked column: nulls that appeared or went, values that stayed as they were, originals with more than
+    one form, and forms that stand for more than one original."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("a"), F.col(m).cast("string").alias("b")) for c, m in pairs.items()])).alias("r")).select("r.*")
+    by = rows.groupBy("column_name", "a", "b").agg(F.count("*").alias("n"))
+    facts = by.groupBy("column_name").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("a").isNull() != F.col("b").isNull(), F.col("n")).otherwise(0)).alias("null_changed"),
+        F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("unchanged"))
+    many = lambda k, of: by.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("column_name", k).agg(F.count("*").alias("k")).groupBy("column_name").agg(F.count_if(F.col("k") > 1).alias(of))
+    out = facts.join(many("a", "split"), "column_name", "left").join(many("b", "merged"), "column_name", "left")
+    return out.select("column_name", "n_rows", "null_changed", "unchanged", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("split", "merged")])
+
+
 def card_digits(c: Column) -> Column:
     return F.regexp_replace(canonical(c), "[ -]", "")
 

@@ -63,7 +63,7 @@ def _seedless(f):
 for _name, _f in {
     "email": m.mask_email, "phone": m.mask_phone, "hash": m.mask_hash, "salted_hash": m.mask_salted, "name": m.mask_name,
     "date": m.mask_date, "date_text": m.mask_date_text, "address": m.mask_address, "credit_card": m.mask_card, "ip_address": m.mask_ip,
-    "ipv6_address": m.mask_ipv6, "retention": lambda c, seed=0, **o: m.mask_retention(c, **o), "redact": _seedless(m.mask_redact),
+    "ipv6_address": m.mask_ipv6, "retention": lambda c, seed=0, hashed=False, **o: m.mask_retention(c, seed=seed if hashed else None, **o), "redact": _seedless(m.mask_redact),
     "preserve": _seedless(m.mask_preserve), "text": _seedless(m.mask_text), "noise": _seedless(m.dp_noise), "url": _seedless(m.redact_url),
     "sync_email": _seedless(m.sync_email), "sync_name": _seedless(m.sync_name), "sync_redact": _seedless(m.sync_redact),
     "sync_hash": _seedless(m.sync_hash), "sync_phone": lambda c, seed=0, **o: m.sync_phone(c, seed),

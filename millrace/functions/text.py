@@ -24,3 +24,15 @@ def merge_json(a: Column, b: Column) -> Column:
     first, second = of(a), of(b)
     kept = F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(second), k))
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, second)))))
+
+
+def to_enum(c: Column, labels: list[str]) -> Column:
+    """The text if it is one of the labels, else null."""
+    return F.when(c.isin(*labels), c)
+
+
+def to_uuid(c: Column) -> Column:
+    """32 hexadecimal digits, with or without dashes, in the canonical form; anything else is null."""
+    h = F.lower(F.replace(c, F.lit("-"), F.lit("")))
+    parts = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.when(h.rlike("^[0-9a-f]{32}$"), parts)

@@ -217,6 +217,30 @@ def table_empty(t: str) -> Check:
     return Check(f"{t} is empty", lambda s: s.table(t).isEmpty(), f"{t} isn't empty")
 
 
+def row_count_above(t: str, n: int) -> Check:
+    return Check(f"{t} has more than {n} rows", lambda s: s.table(t).limit(n + 1).count() > n, f"{t} hasn't more than {n} rows")
+
+
+def schema_missing(n: str) -> Check:
+    return Check(f"schema {n} doesn't exist", lambda s: not s.catalog.databaseExists(n), f"schema {n} exists")
+
+
+def declared(kind: str, names: set[str], name: str, there: bool = True) -> Check:
+    """A ``constraint``, ``index`` or ``foreign key`` among the declared ones: Spark keeps none, so their names come
+    from a parsed schema."""
+    return Check(f"{kind} {name} {'exists' if there else 'does not exist'}", lambda _: (name in names) == there, f"{kind} {name} {'is missing' if there else 'exists'}")
+
+
+def unique(t: str, *columns: str) -> Check:
+    """The rows meet a UNIQUE constraint (nulls differ from each other)."""
+    return Check(f"{t}({', '.join(columns)}) is unique", lambda s: duplicates(s.table(t).dropna(subset=list(columns)), list(columns)).isEmpty(), f"{t}({', '.join(columns)}) has duplicates")
+
+
+def references(t: str, c: str, parent: str, key: str) -> Check:
+    """The rows meet a foreign key."""
+    return Check(f"{t}.{c} references {parent}.{key}", lambda s: orphans(s.table(t), c, s.table(parent), key).isEmpty(), f"{t}.{c} has orphans")
+
+
 def custom_sql(name: str, sql: str) -> Check:
     return Check(name, lambda s: verify_query(s, sql)[0], f"{name}: not met")
 

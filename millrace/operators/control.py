@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.schema import statements, without_comments
@@ -94,7 +94,10 @@ def inverse(statement: str) -> tuple[str | None, str]:
     return None, "no known inverse"
 
 
-CONFLICTS = ("same_column", "same_table", "same_function", "same_view", "same_index")
+def conflict_kind(name: Column) -> Column:
+    """What two intents share: objects are written ``function:f``, ``view:v``, ``index:i``, ``table.column`` or ``table``."""
+    kind = F.regexp_extract(name, "^(function|view|index):", 1)
+    return F.when(kind != "", F.concat(F.lit("same_"), kind)).when(F.instr(name, ".") > 0, "same_column").otherwise("same_table")
 
 
 def conflicts(intents: DataFrame) -> DataFrame:
@@ -107,14 +110,43 @@ def conflicts(intents: DataFrame) -> DataFrame:
 
 
 def view_closure(spark: SparkSession, edges: DataFrame, start: list[str]) -> DataFrame:
-    """(name, depth): everything that depends on ``start`` through (parent, child) edges, at its greatest depth."""
-    edges.createOrReplaceTempView("__edges")
-    roots = ", ".join(f"('{s}')" for s in start)
-    return spark.sql(f"""
-        WITH RECURSIVE deps(name, depth) AS (
-          SELECT child, 1 FROM __edges WHERE parent IN (SELECT col1 FROM VALUES {roots})
-          UNION ALL SELECT e.child, d.depth + 1 FROM __edges e JOIN deps d ON e.parent = d.name WHERE d.depth < 64)
-        SELECT name, max(depth) AS depth FROM deps GROUP BY name""")
+    """(name, depth): everything that depends on ``start`` through (parent, child) edges, at its greatest depth.
+
+    Level by level over distinct names, so paths aren't walked one by one; a cycle is an error."""
+    below: dict[str, set] = {}
+    for r in edges.select("parent", "child").distinct().collect():  # a catalog's views
+        below.setdefault(r["parent"], set()).add(r["child"])
+    depth, level, k = {}, set(start), 0
+    while level := {c for p in level for c in below.get(p, ())}:
+        k += 1
+        if k > len(below) + 1:
+            raise ValueError(f"the views depend on each other: {sorted(level)}")
+        depth.update(dict.fromkeys(level, k))
+    return spark.createDataFrame(sorted(depth.items()), "name string, depth int")
+
+
+class Views:
+    """Saves definitions of temporary views (name -> SQL, and the views that each one reads), drops those that
+    depend on a table, dependents first, and makes them again in the order that they need."""
+
+    def __init__(self, spark: SparkSession, sql: dict[str, str], reads: dict[str, list[str]]):
+        self.spark, self.sql, self.reads = spark, sql, reads
+        self.saved: list[str] = []
+
+    def drop(self, changed: str) -> list[str]:
+        edges = self.spark.createDataFrame([(p, c) for c, ps in self.reads.items() for p in ps], "parent string, child string")
+        order = sorted(view_closure(self.spark, edges, [changed]).collect(), key=lambda r: (-r["depth"], r["name"]))
+        self.saved = [r["name"] for r in order]
+        for n in self.saved:
+            self.spark.catalog.dropTempView(n)
+        return self.saved
+
+    def recreate(self) -> list[str]:
+        again = self.saved[::-1]
+        for n in again:
+            self.spark.sql(self.sql[n]).createOrReplaceTempView(n)
+        self.saved = []
+        return again
 
 
 def ctes(sql: str) -> tuple[list[tuple[str, str]], str]:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,21 +83,96 @@ def resolve_keys(staged: DataFrame, final: DataFrame, natural: tuple[str, str],
     return staged.join(p, F.col(child) == F.col("__natural"), "left").drop("__natural", child)
 
 
-def with_batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``batch_id`` of consecutive runs of ``size`` rows by key.
+CUTS = 256  # ranges in which rows are numbered, at most
+SAMPLED = 20_000  # keys that the cut points are taken from
 
-    The row number is global; it is made from per-range counts, not by a sort in one task: rows are
-    range-partitioned by key, numbered within ranges, and shifted by the ranges' running totals."""
-    ranged = df.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.sortWithinPartitions(key)
-    per = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
+
+def cut_points(df: DataFrame, key: str, ranges: int) -> list:
+    """Up to ``ranges`` - 1 increasing keys that cut the rows in about equal parts, from a bounded sample."""
+    sample = sorted(r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(F.rand(7)).limit(SAMPLED).collect())
+    return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+
+
+def with_batches(df: DataFrame, key: str, size: int, ties: list[str] = [], ranges: int | None = None) -> DataFrame:
+    """``row_num`` by key (nulls first), then ``ties``, and ``batch_id`` of consecutive runs of ``size`` rows.
+
+    The row number is global, but no task sorts all rows: a row's range is a function of its key, rows are
+    numbered within their range and shifted by the sizes of the ranges before it, a broadcast of ``ranges``
+    numbers.  Rows are shuffled once.  Rows that are equal in key and ties are numbered in any order."""
+    spark = df.sparkSession
+    n = min(CUTS, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = df.schema[key].dataType
+    cuts = F.lit(0)
+    for c in cut_points(df, key, n):
+        cuts = cuts + F.coalesce((F.col(key) >= F.lit(c).cast(kind)).cast("int"), F.lit(0))
+    own = df.withColumn("__part", cuts)
+    per = own.groupBy("__part").agg(F.count("*").alias("__n"))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = per.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(key))
-    out = ranged.withColumn("__rn", own).join(F.broadcast(shift), "__part")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(key, *ties))
+    out = own.withColumn("__rn", rank).join(F.broadcast(shift), "__part", "left")
     return out.withColumn("row_num", F.col("__rn") + F.col("__before")).withColumn("batch_id", F.floor((F.col("row_num") - 1) / size)).drop("__part", "__rn", "__before")
 
 
+def take_batch(df: DataFrame, where: str, n: int, key: str) -> DataFrame:
+    """The whole rows of the first ``n`` keys, in order of key, among rows that meet ``where``: ids are chosen
+    alone and the rows fetched by a semi-join."""
+    ids = df.filter(where).select(key).orderBy(key).limit(n)
+    return df.join(F.broadcast(ids), key, "left_semi")
+
+
+def range_copy(df: DataFrame, key: str, size: int, path: str) -> DataFrame:
+    """Copies rows in ranges of ``size`` values of an integer key, each range a folder of ``path``; ranges that
+    are there already stay as they are, so a run that broke off goes on.  Returns (range, n_rows) of all."""
+    spark = df.sparkSession
+    own = df.withColumn("range", F.floor(F.col(key) / size))
+    try:
+        done = spark.read.parquet(path).select("range").distinct()
+        own = own.join(F.broadcast(done), "range", "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+            raise
+    own.repartition("range").write.mode("append").partitionBy("range").parquet(path)
+    return spark.read.parquet(path).groupBy("range").agg(F.count("*").alias("n_rows"))
+
+
+def csv_round_trip(df: DataFrame, path: str) -> DataFrame:
+    """Writes CSV and reads it back with the same schema: nulls, empty texts, quotes and line feeds are kept."""
+    form = {"nullValue": "\\N", "emptyValue": '""', "quote": '"', "escape": '"', "multiLine": "true", "header": "true"}
+    df.write.mode("overwrite").options(**form).csv(path)
+    form["emptyValue"] = ""
+    return df.sparkSession.read.schema(df.schema).options(**form).csv(path)
+
+
+def resolve_self(df: DataFrame, key: str, parent: str, surrogate: str, as_: str) -> DataFrame:
+    """Two passes over a self-reference: rows first get their surrogates, then references to their own table
+    are looked up among them; null where none matches."""
+    up = df.select(F.col(key).alias("__key"), F.col(surrogate).alias(as_))
+    return df.join(up, F.col(parent) == F.col("__key"), "left").drop("__key")
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """A view's rows, written: later reads don't work them out again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def dry_run(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> list[tuple[str, int, int, int, str]]:
+    """(step, rows before, rows after, rows that are new or different, error) of rewrites in order, without
+    writing anything; it stops at the first error."""
+    out = []
+    for name, step in steps.items():
+        before = df.count()
+        try:
+            new = step(df)
+            out.append((name, before, new.count(), new.exceptAll(df).count() if new.columns == df.columns else new.count(), ""))
+        except Exception as e:  # the step's error is its result
+            out.append((name, before, 0, 0, str(e).splitlines()[0]))
+            break
+        df = new
+    return out
+
+
 @dataclass
 class Metrics:
     table: str

@@ -388,8 +388,11 @@ def set_difference(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 def drift(expected: DataFrame, live: DataFrame) -> DataFrame:
     """(table_name, column_name, kind, severity) from facts (table_name, column_name, type, nullable).
 
-    A missing table is reported once, not for its columns.  Types are compared as written: put
-    ``canonical_type`` forms in."""
+    A missing table is reported once, not for its columns.  Types are compared by their ``canonical_type``."""
+    known = {r[0]: canonical_type(r[0]) for r in expected.select("type").union(live.select("type")).distinct().collect() if r[0]}
+    if known:  # the types that schemas name are few
+        alike = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+        expected, live = (d.withColumn("type", F.coalesce(alike[F.col("type")], "type")) for d in (expected, live))
     tables = lambda d: d.select("table_name").distinct()
     t = tables(expected).withColumn("e", F.lit(1)).join(tables(live).withColumn("l", F.lit(1)), "table_name", "full_outer")
     kind = F.when(F.col("l").isNull(), "missing_table").when(F.col("e").isNull(), "extra_table")

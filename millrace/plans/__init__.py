@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import checks, masks, moves
+from millrace.plans import checks, masks, more, moves
 from millrace.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "checks", "flagship", "masks", "moves"]
+__all__ = ["ORACLES", "QUERIES", "checks", "flagship", "masks", "more", "moves"]
 
 
 def flagship(spark, sf_dir: str):

@@ -218,7 +218,7 @@ def rollback_plan(spark, d):
 _SUMS = [("001", "a"), ("002", "b"), ("003", "c")]
 
 
-@query("SELECT * FROM (VALUES ('002', 'changed'), ('003', 'missing_file')) t(version, kind)")
+@query("WITH f(version, checksum) AS (VALUES ('001', 'a'), ('002', 'x')), s(version, checksum) AS (VALUES " + _values(_SUMS) + ") SELECT s.version, CASE WHEN f.version IS NULL THEN 'missing_file' ELSE 'changed' END AS kind FROM s LEFT JOIN f USING (version) WHERE f.version IS NULL OR f.checksum <> s.checksum")
 def checksum_verify(spark, d):
     of = lambda r: spark.createDataFrame(r, "version string, checksum string")
     return control.verify_checksums(of([("001", "a"), ("002", "x")]), of(_SUMS))
@@ -244,20 +244,32 @@ def cte_debug_steps(spark, d):
 _INTENTS = [(1, "a", ["users.id", "posts"]), (2, "b", ["posts", "tags"]), (3, "a", ["posts"]), (4, "c", ["logs"])]
 
 
-@query("SELECT * FROM (VALUES (1, 2, ['posts']), (2, 3, ['posts'])) t(a, b, objects)")
+@query("WITH i AS (SELECT id, agent, unnest(objects) AS o FROM (VALUES " + _values(_INTENTS) + ") t(id, agent, objects)) SELECT x.id AS a, y.id AS b, list_sort(list(DISTINCT x.o)) AS objects FROM i x JOIN i y ON x.o = y.o AND x.id < y.id AND x.agent <> y.agent GROUP BY x.id, y.id")
 def intent_conflicts(spark, d):
     return control.conflicts(spark.createDataFrame(_INTENTS, "id int, agent string, objects array<string>"))
 
 
-@query("SELECT table_name, column_name FROM (VALUES " + _values([(t, c) for t, c in [("region", "r_regionkey"), ("region", "r_name"), ("nation", "n_nationkey"), ("nation", "n_name"), ("nation", "n_regionkey")]]) + ") t(table_name, column_name)")
+@query("SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation')")
 def schema_facts(spark, d):
     facts = column_facts({t: table(spark, d, t) for t in ("region", "nation")})
     return spark.createDataFrame([(t, c) for t, c, _, _ in facts], "table_name string, column_name string")
 
 
-@query("SELECT sha256(r_name) = sha256(r_name) AS ok, count(*) AS n FROM region GROUP BY 1")
+_VERIFIED = {
+    "orders_have_customers": "SELECT count(*) = 0 FROM {orders} WHERE o_custkey IS NULL", "prices_are_low": "SELECT max(o_totalprice) < 1000 FROM {orders}",
+    "regions": "SELECT count(*) FROM {region} WHERE r_name LIKE 'A%'", "no_such_region": "SELECT count(*) FROM {region} WHERE r_name LIKE 'X%'"}
+_PLAIN = {"orders": "orders", "region": "region"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, ({q.format(**_PLAIN)})::BOOLEAN AS ok" for n, q in _VERIFIED.items())
+       + " UNION ALL SELECT 'rows:' || n, (SELECT count(*) FROM region) = n FROM (VALUES (5), (6)) v(n) UNION ALL SELECT 'column:' || c, c IN (SELECT column_name FROM information_schema.columns WHERE table_name = 'region') FROM (VALUES ('r_name'), ('r_nothing')) v(c)")
 def verify_query(spark, d):
-    table(spark, d, "region").createOrReplaceTempView("verify_region")
-    ok, _ = audit.verify_query(spark, "SELECT count(*) > 0 FROM verify_region")
-    checks = audit.run_checks(spark, [audit.table_exists("verify_region"), audit.column_exists("verify_region", "r_name"), audit.row_count("verify_region", 5), audit.column_type("verify_region", "r_name", "string"), audit.custom_sql("any", "SELECT true")])
-    return spark.createDataFrame([(ok, sum(c[1] for c in checks))], "ok boolean, n long")
+    """Verification queries and preconditions, some of them not met."""
+    views = {t: f"verify_{t}" for t in _PLAIN}
+    for t, v in views.items():
+        table(spark, d, t).createOrReplaceTempView(v)
+    found = [(n, audit.verify_query(spark, q.format(**views))[0]) for n, q in _VERIFIED.items()]
+    names = ["rows:5", "rows:6", "column:r_name", "column:r_nothing"]
+    checks = [audit.row_count("verify_region", 5), audit.row_count("verify_region", 6), audit.column_exists("verify_region", "r_name"), audit.column_exists("verify_region", "r_nothing")]
+    found += [(n, ok) for n, (_, ok, _) in zip(names, audit.run_checks(spark, checks))]
+    return spark.createDataFrame(found, "name string, ok boolean")

@@ -195,12 +195,14 @@ def redact_page_urls(spark, d):
     return table(spark, d, "pages").select("page_id", m.mask_text(F.col("url"), ["url"]).alias("url"), m.redact_url(u).alias("safe"), m.url_password(u).alias("password"))
 
 
-@query()
+@query("SELECT DISTINCT o_orderstatus, true AS total_near, true AS n_near FROM orders")
 def dp_noisy_totals(spark, d):
-    """Totals per status with Laplace noise; the budget is charged on the driver before the query runs."""
+    """Totals per status with Laplace noise, and whether they are within 40 scales of the true ones; the budget of
+    this release is charged on the driver before the query runs.  The noise has no seed that could be known."""
     t = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
     m.PrivacyBudget(10.0).charge(2, 1.0)
-    return t.select("o_orderstatus", m.dp_noise(F.col("total"), 1.0, 1e5, seed=11).alias("noisy_total"), m.dp_noise(F.col("n").cast("double"), 1.0, 1.0, seed=12).alias("noisy_n"))
+    t = t.select("*", m.dp_noise(F.col("total"), 1.0, 1e5).alias("x"), m.dp_noise(F.col("n").cast("double"), 1.0, 1.0).alias("y"))
+    return t.select("o_orderstatus", (F.abs(F.col("x") - F.col("total")) < 40e5).alias("total_near"), (F.abs(F.col("y") - F.col("n")) < 40).alias("n_near"))
 
 
 @query(f"""SELECT c.n_raw, c.n_masked FROM (SELECT (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS n_raw,

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import movement as mv
 from millrace.plans.base import query
-from millrace.sources.catalog import list_tables, select_tables, table
+from millrace.session import scratch
+from millrace.sources.catalog import TABLES, list_tables, select_tables, table
 from millrace.sources.seeds import copy_lines
 from millrace.streaming import masked_increment
 
@@ -26,9 +25,10 @@ def copy_with_transform(spark, d):
         {"l_extendedprice": "l_extendedprice * (1 - l_discount)", "l_returnflag": "lower(l_returnflag)"}, "l_quantity > 25 AND l_shipdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00'")
 
 
-@query("SELECT * FROM nation")
+@query("SELECT * FROM orders")
 def raw_copy(spark, d):
-    return table(spark, d, "nation")
+    """Every row of orders, written to another root and read from there."""
+    return mv.materialize(table(spark, d, "orders"), scratch(spark, "raw-copy"))
 
 
 @query("SELECT batch_id, count(*) AS n_rows, min(o_orderkey) AS low, max(o_orderkey) AS high FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch_id FROM orders) GROUP BY batch_id")
@@ -37,10 +37,12 @@ def batch_tracker(spark, d):
     return b.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
 
 
-@query("SELECT coalesce(min(o_orderkey), 0) AS low, coalesce(max(o_orderkey), 0) AS high FROM orders WHERE o_totalprice > 1e12")
+@query(" UNION ALL ".join(f"SELECT {x}::INT AS above, coalesce(min(o_orderkey), 0) AS low, coalesce(max(o_orderkey), 0) AS high FROM orders WHERE o_totalprice > {x}" for x in (0, 300000, 2000000000)))
 def batch_bounds(spark, d):
-    o = table(spark, d, "orders").filter("o_totalprice > 1e12")
-    return o.agg(F.coalesce(F.min("o_orderkey"), F.lit(0)).alias("low"), F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("high"))
+    """Bounds of all orders, of dear ones and of none."""
+    o = table(spark, d, "orders")
+    dear = lambda f, x: F.coalesce(f(F.when(F.col("o_totalprice") > x, F.col("o_orderkey"))), F.lit(0))
+    return o.agg(F.array(*[F.struct(F.lit(x).alias("above"), dear(F.min, x).alias("low"), dear(F.max, x).alias("high")) for x in (0, 300000, 2000000000)]).alias("r")).select(F.inline("r"))
 
 
 @query("SELECT event_id, CASE WHEN nullif(value, 50) > 50 THEN 'high' ELSE event_type END AS event_type FROM events")
@@ -142,13 +144,13 @@ def copy_text_rows(spark, d):
 
 @query("SELECT year(ts)::INT AS y, month(ts)::INT AS m, count(*) AS n FROM events GROUP BY ALL")
 def partition_by_month(spark, d):
-    path = tempfile.mkdtemp(prefix="millrace-") + "/events" if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.checkpoint.dir')}/by-month"
+    path = scratch(spark, "by-month")
     e = table(spark, d, "events").withColumn("y", F.year("ts")).withColumn("m", F.month("ts"))
     e.write.mode("overwrite").partitionBy("y", "m").parquet(path)
     return spark.read.parquet(path).groupBy("y", "m").agg(F.count("*").alias("n"))
 
 
-@query("SELECT t AS table_name FROM (VALUES ('customer'), ('orders')) x(t)")
+@query("SELECT t AS table_name FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") x(t) WHERE (t LIKE 'o%' OR t IN ('customer', 'supplier')) AND t NOT LIKE 'supp%'")
 def select_tables_q(spark, d):
     names = select_tables(list_tables(spark, d), ["customer", "o*", "supplier"], ["supp*"])
     return spark.createDataFrame([(n,) for n in names], "table_name string")
@@ -157,13 +159,10 @@ def select_tables_q(spark, d):
 @query("SELECT count(*) AS n, count(DISTINCT user_hash) AS n_users FROM (SELECT substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS user_hash FROM events)")
 def incremental_events(spark, d):
     """A stream over the events' files, masked, run twice: the second run finds nothing new."""
-    import os
-    import uuid
-
     from millrace.functions.registry import Policy, Rule
 
-    base = tempfile.mkdtemp(prefix="millrace-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
-    table(spark, d, "events").withColumn("user_id", F.col("user_id").cast("string")).write.parquet(os.path.join(base, "in"))
+    base = scratch(spark, "increment")
+    table(spark, d, "events").withColumn("user_id", F.col("user_id").cast("string")).write.parquet(f"{base}/in")
     policy = Policy({"events": [Rule("user_id", "sync_hash")]})
     for _ in range(2):
         masked_increment(spark, f"{base}/in", f"{base}/out", f"{base}/state", policy, "events")

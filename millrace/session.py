@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +25,14 @@ def session(master: str | None = None, app: str = "millrace", **conf: str) -> Sp
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one in ``spark.checkpoint.dir``, which all executors share; a temporary one only
+    on a local master that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

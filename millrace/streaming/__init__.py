@@ -20,15 +20,15 @@ def masked_increment(spark: SparkSession, source: str, target: str, checkpoint:
 
 
 def upsert_increment(spark: SparkSession, source: str, target: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Keeps the latest row per key by ``order``: each increment is merged into a new version of the target."""
-    from millrace.operators.movement import upsert
-
+    """Keeps the latest row per key by ``order``, at a tie the greatest by all columns, so that a late row never
+    replaces a newer one: each increment is merged into a new version of the target."""
     schema = spark.read.parquet(source).schema
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
         if epoch:
-            latest = upsert(spark.read.parquet(f"{target}/v{epoch - 1}"), latest, keys)
+            batch = batch.unionByName(spark.read.parquet(f"{target}/v{epoch - 1}"))
+        row = F.struct(*batch.columns)
+        latest = batch.groupBy(*keys).agg(F.max_by(row, F.struct(order, *batch.columns)).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(f"{target}/v{epoch}")  # a repeated epoch writes the same
 
     q = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -178,3 +178,54 @@ def test_streams(spark, sf, tmp_path):
     upsert_increment(spark, src, f"{tmp_path}/latest", f"{tmp_path}/s2", ["event_id"], "ts")
     assert spark.read.parquet(f"{tmp_path}/latest/v0").count() == 100
     assert windowed_totals(spark.readStream.schema(e.schema).parquet(src)).isStreaming
+
+
+def test_late_rows_do_not_replace_newer_ones(spark, tmp_path):
+    src, run = f"{tmp_path}/in", lambda: upsert_increment(spark, src, f"{tmp_path}/latest", f"{tmp_path}/s", ["k"], "ts")
+    add = lambda *r: spark.createDataFrame(list(r), "k int, ts int, v string").coalesce(1).write.mode("append").parquet(src)
+    add((1, 10, "new"), (2, 1, "a"))
+    run()
+    add((1, 5, "late"), (2, 1, "b"), (3, 7, "x"))
+    run()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/latest/v1").collect())) == [(1, 10, "new"), (2, 1, "b"), (3, 7, "x")]
+
+
+def test_batches_lose_no_rows(spark, tmp_path, capsys):
+    """All columns at scale factor 0.1, written; a hot key and nulls."""
+    root = "/root/testdata/sf0.1"
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        df = catalog.table(spark, root, name)
+        mv.with_batches(df, key, 5000).write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        got = spark.read.parquet(f"{tmp_path}/{name}")
+        n = df.count()
+        r = got.agg(F.count("*"), F.countDistinct("row_num"), F.min("row_num"), F.max("row_num")).first()
+        assert tuple(r) == (n, n, 1, n) and got.groupBy("batch_id").count().filter("count > 5000").isEmpty()
+    mv.with_batches(df, key, 5000).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(__part") == 2  # the rows once, and the ranges' sizes
+    rows = [(None,)] * 5 + [(7,)] * 400 + [(i,) for i in range(100)]
+    got = mv.with_batches(spark.createDataFrame(rows, "k int"), "k", 50).orderBy("row_num").collect()
+    assert [r["k"] for r in got] == sorted((k for k, in rows), key=lambda k: -1 if k is None else k) and [r["row_num"] for r in got] == list(range(1, 506))
+
+
+def test_views_are_saved_and_made_again(spark):
+    spark.range(3).createOrReplaceTempView("base_t")
+    sql = {"v1": "SELECT id FROM base_t", "v2": "SELECT id + 1 AS id FROM v1", "v3": "SELECT a.id FROM v1 a JOIN v2 b ON a.id = b.id"}
+    views = control.Views(spark, sql, {"v1": ["base_t"], "v2": ["v1"], "v3": ["v1", "v2"]})
+    for n, q in sql.items():
+        spark.sql(q).createOrReplaceTempView(n)
+    assert views.drop("base_t") == ["v3", "v2", "v1"] and not spark.catalog.tableExists("v1")
+    assert views.recreate() == ["v1", "v2", "v3"] and spark.table("v3").count() == 2
+    with pytest.raises(ValueError):
+        control.view_closure(spark, spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"), ["a"])
+
+
+def test_files_and_logs(spark, tmp_path):
+    assert seeds.concatenated({"a.sql": "x;\n", "b.sql": "y;"}, "-- head\n").count("==========") == 4
+    (tmp_path / "a.sql").write_text("SELECT 1")
+    r = seeds.read_files(spark, [f"{tmp_path}/a.sql"]).first()
+    assert r["text"] == "SELECT 1" and len(r["sha256"]) == 64
+    assert mv.Metrics("t", 10, 2.0).rows_per_second == 5 and mv.Metrics("t", 1, 0.0).rows_per_second == 0
+    log = spark.createDataFrame([("e", "before", 3), ("e", "before", 4), ("f", "after", 1)], "execution_id string, phase string, duration_ms int")
+    assert [tuple(x) for x in audit.execution_log(log, "e", "before").collect()] == [("e", "before", 2, 7)]
+    names = {"fk_orders", "ix_orders"}
+    assert [ok for _, ok, _ in audit.run_checks(spark, [audit.declared("index", names, "ix_orders"), audit.declared("foreign key", names, "fk_x"), audit.declared("constraint", names, "c", False), audit.schema_missing("nowhere")])] == [True, False, True, True]
