@@ -197,8 +197,7 @@ def repeated(rows: DataFrame, texts: DataFrame, tokens: Callable, width: int, st
     else:  # one range stands for a settled whole, so that others can be found to share its windows
         parts = wholes.select("least.*", "core")
     finer = _split_rows(texts, parts, tokens, width, steps[0], bits)
-    if len(steps) > 1:
-        finer = written(finer, "repeat-finer")
+    finer = written(finer if len(steps) > 1 else finer.drop("core", "off"), "repeat-finer")  # it is read twice, and texts only once
     return [settled, done, *repeated(finer, texts, tokens, width, steps[1:], earlier, bits)]
 
 
