@@ -79,7 +79,7 @@ ENTITY, DATA, NAME = re.compile(f"{_DATA}|{_NAME}"), re.compile(_DATA), re.compi
 #: Data have a digit or an @, the beginning of a key, or two colons; names a title or a given name among the words
 #: that begin with a capital (or with another letter than a small Latin one).
 _DIGIT, _CAPITALIZED = re.compile("[0-9@]"), re.compile("[^\\W\\d_a-zß-öø-ÿ]\\w+")
-_BEGINS = (*(k.replace("gh[pousr]_", "gh").replace("xox[abprs]-", "xox") for k in _KEY.split("|")), "::")
+_BEGINS = (*"AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk_live_ sk_test_ sk- xoxa- xoxb- xoxp- xoxr- xoxs- AIza hf_ npm_".split(), "::")
 _NAME_WORDS = frozenset(_GIVEN) | frozenset(f"{_TITLE_M}|{_TITLE_F}|Dr|Prof|Herr".replace("Herrn?", "Herrn").split("|"))
 #: Calling codes of one and two digits; all others have three.
 _CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3}")
