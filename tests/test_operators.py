@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.registry import Policy, Rule
 from millrace.operators import audit, control, movement as mv, schema
+from millrace.plans import QUERIES
 from millrace.sources import catalog, seeds
 from millrace.streaming import masked_increment, upsert_increment, windowed_totals
 
@@ -207,6 +208,25 @@ def test_batches_lose_no_rows(spark, tmp_path, capsys):
     assert [r["k"] for r in got] == sorted((k for k, in rows), key=lambda k: -1 if k is None else k) and [r["row_num"] for r in got] == list(range(1, 506))
 
 
+def test_batches_do_not_depend_on_the_order_of_rows(spark):
+    """Rows that share key and ties; a name with a dot, and types without an order."""
+    rows = [(i // 4, i % 2, f"v{i:02}", {"a": i}) for i in range(40)]
+    of = lambda r, n: spark.createDataFrame(r, "k int, t int, `v.x` string, m map<string,int>").coalesce(n)
+    got = [sorted((r["v.x"], r["row_num"], r["batch_id"]) for r in mv.with_batches(of(r, n), "k", 3, ["t"]).collect()) for r, n in ((rows, 4), (rows[::-1], 1), (rows[::3] + rows[1::3] + rows[2::3], 2))]
+    want = sorted(rows, key=lambda r: r[:3])
+    assert got[0] == got[1] == got[2] == sorted((r[2], i + 1, i // 3) for i, r in enumerate(want))
+
+
+def test_lineitem_batches_agree_between_layouts(spark):
+    """Rows of lineitem share date, order and line number: their batches don't depend on how the table is laid out."""
+    d = "/root/testdata/sf0.01"
+    x = catalog.table(spark, d, "lineitem")
+    assert x.groupBy("l_shipdate", "l_orderkey", "l_linenumber").count().filter("count > 1").count() > 0
+    one = QUERIES["batches_of_lineitem"](spark, d)
+    two = mv.with_batches(x.repartition(7).sortWithinPartitions(F.desc("l_partkey"), F.desc("l_suppkey")), "l_shipdate", 5000, ["l_orderkey", "l_linenumber"])
+    assert one.exceptAll(two.withColumn("row_num", F.col("row_num").cast("long")).select(one.columns)).count() == 0
+
+
 def test_views_are_saved_and_made_again(spark):
     spark.range(3).createOrReplaceTempView("base_t")
     sql = {"v1": "SELECT id FROM base_t", "v2": "SELECT id + 1 AS id FROM v1", "v3": "SELECT a.id FROM v1 a JOIN v2 b ON a.id = b.id"}
