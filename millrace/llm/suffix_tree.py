@@ -10,10 +10,12 @@ counts, retained contexts and the values of windows are partitioned tables."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,13 @@ FREQUENT = 4_000_000
 CHUNK = 1 << 20  # bytes that are worked on at once
 ROWS = 500_000  # rows that are worked on at once
 HELD = 1_500_000  # counts that a task holds before it passes them on
+FIT = 1 << 30  # occurrences after which a task passes its counts on: half a number holds them and those of one text
 PAD = 0x0D  # stands before a text; no text in this form has it
 WORD, WINDOW = 0, 1  # kinds of keys
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
+_HALF, _LOW = np.uint64(32), np.uint64(2**32 - 1)
 
 
 def canonical(text: str | None) -> bytes:
@@ -102,6 +106,23 @@ def chunks(texts: list):
         yield Chunk(docs, parts)
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can: a worker that waits holds no more than it needs."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _slices(batch, text: int):
+    """Consecutive rows of about CHUNK bytes of text, so that memory doesn't follow the batch."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = (np.cumsum(size) - size) // CHUNK
+    cut = [0, *(np.flatnonzero(np.diff(begin)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(cut, cut[1:]):
+        if a < z:
+            yield batch.slice(a, z - a)
+
+
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple:
     """Distinct keys in order and the sums of each one's counts."""
     order = np.argsort(keys)
@@ -110,42 +131,68 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple:
     return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
+def _merged(held: list) -> tuple:
+    """The same of pairs (keys, counts), which are let go as they are joined: no more than half of them is there twice."""
+    keys = np.concatenate([k for k, _ in held])
+    held[:] = [c for _, c in held]
+    counts = np.concatenate(held)
+    held.clear()
+    order = np.argsort(keys)
+    keys = keys[order]
+    counts = counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys = keys[first]
+    return keys, np.add.reduceat(counts, first)
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(kind, key, c, n): how often each word and window occurs in rows (text, learn) that are learned
-    from, and in all; summed within tasks before the shuffle."""
+    from, and in all; summed within tasks before the shuffle.  A task holds HELD counts of both kinds together,
+    c and n in one number, c in its upper half."""
 
     def run(batches):
-        held, size = ([], []), [0, 0]
+        _forget()
+        held, size, seen = ([], []), [0, 0], [0, 0]
 
         def add(kind, keys, learn):
+            if not len(keys):
+                return
             u, n = np.unique(keys, return_counts=True)
-            held[kind].append((u, n * learn, n))
+            n = n.view(np.uint64)
+            held[kind].append((u, n | n << _HALF if learn else n))
             size[kind] += len(u)
+            seen[kind] += len(keys)
 
-        def out(kind, last):
-            if not size[kind] or (size[kind] <= 2 * HELD and not last):
+        def out(last):
+            if sum(size) <= 2 * HELD and max(seen) < FIT and not last:
                 return
-            keys, c, n = _summed(*map(np.concatenate, zip(*held[kind])))
-            held[kind][:], size[kind] = [(keys, c, n)], len(keys)
-            if not last and len(keys) <= HELD:
+            for kind in (WORD, WINDOW):
+                if len(held[kind]) > 1:
+                    held[kind].append(_merged(held[kind]))
+                    size[kind] = len(held[kind][0][0])
+            if not last and sum(size) <= HELD and max(seen) < FIT:
                 return
-            held[kind].clear()
-            size[kind] = 0
-            for a in range(0, len(keys), ROWS):
-                k = keys[a : a + ROWS]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(c[a : a + ROWS]), pa.array(n[a : a + ROWS])], ["kind", "key", "c", "n"])
-
-        for b in batches:
-            texts, learn = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for flag in (1, 0):
-                for x in chunks([t for t, v in zip(texts, learn) if bool(v) == flag]):
-                    add(WORD, x.words, flag)
-                    add(WINDOW, x.win, flag)
-                    for kind in (WORD, WINDOW):
-                        yield from out(kind, False)
-        for kind in (WORD, WINDOW):
-            yield from out(kind, True)
+            for kind in (WORD, WINDOW):
+                size[kind] = seen[kind] = 0
+                while held[kind]:
+                    keys, both = held[kind].pop()
+                    for a in range(0, len(keys), ROWS):
+                        k, x = keys[a : a + ROWS], both[a : a + ROWS]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array((x >> _HALF).view(np.int64)), pa.array((x & _LOW).view(np.int64))], ["kind", "key", "c", "n"])
+
+        for batch in batches:
+            for b in _slices(batch, 0):
+                texts, learn = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for flag in (1, 0):
+                    for x in chunks([t for t, v in zip(texts, learn) if bool(v) == flag]):
+                        add(WORD, x.words, flag)
+                        add(WINDOW, x.win, flag)
+                        del x
+                        yield from out(False)
+        yield from out(True)
+        _trim()
 
     got = docs.select("text", "learn").mapInArrow(run, "kind int, key long, c long, n long")
     return written(got.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "pst-counts")
@@ -254,6 +301,7 @@ class Tree:
                     yield out
             if size:
                 yield work(held, new)[1]
+            _trim()
 
         rows = windows.select(_group(), F.lit(DEPTH + 1).alias("d"), "win", F.col("n").alias("c")).unionByName(self.table)
         rows = rows.repartition("g").sortWithinPartitions("g", "d")  # a group's contexts before what asks for them
@@ -324,6 +372,11 @@ class Table:
 _ready: dict = {}
 
 
+def _forget() -> None:
+    """Lets go of the tables that a former query left in this worker."""
+    _ready.clear()
+
+
 def _tables(token: str, known) -> list[Table]:
     """The look-up tables of a broadcast, made once in each worker."""
     if token not in _ready:
@@ -362,7 +415,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     def run(batches):
         tables = _tables(token, known)
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch, 2)):
             texts = b.column(2).to_pylist()
             size = len(texts)
             n, known_, base, model = (np.zeros(size) for _ in range(4))
@@ -383,6 +436,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 pa.array(np.rint(n).astype(np.int64) + 1), pa.array(np.rint(known_).astype(np.int64) + (n_texts > 0)), pa.array(base + end_base - (n + 1) * whole), pa.array(model),
                 pa.ListArray.from_arrays(pa.array(offsets), lists)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
+        _trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")

@@ -2,10 +2,12 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -554,6 +556,59 @@ def test_tree_grows_with_the_corpus(spark):
     assert a and a <= b
 
 
+def counting():
+    """What counts in a task, from the query itself."""
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            raise InterruptedError
+
+    d = Docs()
+    with pytest.raises(InterruptedError):
+        st.counted(d)
+    return d.run
+
+
+def test_counting_stays_within_its_memory():
+    r = np.random.default_rng(8)
+    text = lambda: bytes(r.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789    ", np.uint8), 1 << 19)).decode()
+    texts = [text() for _ in range(18)]  # 9 MB, nearly all windows differ
+    run, n = counting(), 0
+    tracemalloc.start()
+    for b in run(pa.RecordBatch.from_arrays([pa.array(texts[a : a + 6]), pa.array([True] * 6)], ["text", "learn"]) for a in (0, 6, 12)):
+        n += sum(b.column(3).to_numpy()[b.column(0).to_numpy() == st.WINDOW])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == sum(len(st.canonical(t)) for t in texts)
+    assert peak < 200e6, peak
+
+
+def test_counting_passes_on_what_its_numbers_hold(monkeypatch):
+    texts = ["a b a b", None, "b " * 30, "", "ž a"] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 3 > 0 for i in range(len(texts))])], ["text", "learn"])
+
+    def sums():
+        got = collections.Counter()
+        for b in counting()([batch, batch.slice(0, 0), batch]):
+            for kind, key, c, n in zip(*(x.to_pylist() for x in b.columns)):
+                got.update({(kind, key, "c"): c, (kind, key, "n"): n})
+        return got
+
+    want = sums()
+    assert sum(v for (kind, _, x), v in want.items() if (kind, x) == (st.WINDOW, "n")) == 2 * sum(len(st.canonical(t)) for t in texts)
+    for name, v in (("FIT", 40), ("CHUNK", 16), ("HELD", 5)):
+        monkeypatch.setattr(st, name, v)
+        assert sums() == want, name
+    none = pa.RecordBatch.from_arrays([pa.array([None, "", " ", None]), pa.array([True, False, True, False])], ["text", "learn"])
+    assert [b.column(0).to_pylist() for b in counting()([none, none])] == [[st.WINDOW]]
+    got = list(st._slices(batch, 0))
+    assert len(got) > 1 and [t for b in got for t in b.column(0).to_pylist()] == texts
+
+
 def test_table():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     keys[:50] = np.arange(50)
