@@ -33,7 +33,7 @@ def raw_copy(spark, d):
 
 @query("SELECT batch_id, count(*) AS n_rows, min(o_orderkey) AS low, max(o_orderkey) AS high FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch_id FROM orders) GROUP BY batch_id")
 def batch_tracker(spark, d):
-    b = mv.with_batches(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1000)
+    b = mv.with_batches(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1000, nulls_first=False)
     return b.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.registry import Policy, Rule
 from millrace.operators import audit, control, movement as mv, schema
-from millrace.plans import QUERIES
+from millrace.plans import ORACLES, QUERIES
 from millrace.sources import catalog, seeds
 from millrace.streaming import masked_increment, upsert_increment, windowed_totals
 
@@ -227,6 +227,23 @@ def test_lineitem_batches_agree_between_layouts(spark):
     assert one.exceptAll(two.withColumn("row_num", F.col("row_num").cast("long")).select(one.columns)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["batches_of_lineitem", "batches_of_orders", "batch_tracker"])
+def test_batches_place_nulls_as_their_sql_does(spark, tmp_path, name):
+    """Nulls in each column that the SQL orders by, no ties; more rows than a batch of orders holds."""
+    import duckdb
+
+    n = F.col("id")
+    lineitem = spark.range(3, 700).select(F.when(n % 7 > 0, F.timestamp_seconds(n % 5 * 86400).cast("timestamp_ntz")).alias("l_shipdate"), F.when(n != 50, F.floor(n / 3)).alias("l_orderkey"), F.when(n % 3 > 0, n % 3).alias("l_linenumber"))
+    orders = spark.range(1500).select(F.when(n != 70, n).alias("o_orderkey"))
+    duck = duckdb.connect()
+    for of, df in (("lineitem", lineitem), ("orders", orders)):
+        df.write.parquet(f"{tmp_path}/{of}.parquet")
+        duck.sql(f"CREATE VIEW {of} AS SELECT * FROM read_parquet('{tmp_path}/{of}.parquet/*.parquet')")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = duck.sql(ORACLES[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_views_are_saved_and_made_again(spark):
     spark.range(3).createOrReplaceTempView("base_t")
     sql = {"v1": "SELECT id FROM base_t", "v2": "SELECT id + 1 AS id FROM v1", "v3": "SELECT a.id FROM v1 a JOIN v2 b ON a.id = b.id"}
