@@ -21,6 +21,11 @@ CITIES = ["Aldermere", "Brackwater", "Coldstream", "Dunmore", "Eastwick", "Fenbr
 STATES = ["AB", "CD", "EF", "GH", "JK", "LM", "NP", "QR"]
 
 
+def _once(c: Column, f) -> Column:
+    """``f`` of ``c``, which is worked out once a row, not wherever ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 # strategies of a table copy
 
 
@@ -236,7 +241,6 @@ def mask_card(c: Column, seed: object = 0, keep: str = "last4") -> Column:
     d, n = card_digits(c), F.length(card_digits(c))
     h = seeded(d, seed)
     body = F.concat(*[(number(h, 1 + 3 * i, 3) % 10).cast("string") for i in range(15)])
-    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  # works c out once, not wherever f names it
     tries = lambda make: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: make(x.cast("string"))), lambda s: F.call_function("luhn_check", s)), 1)
     if keep == "last4":
         make = lambda b, x: F.concat(F.substr(b, F.lit(1), n - 5), x, F.substr(d, n - 3))
@@ -244,10 +248,10 @@ def mask_card(c: Column, seed: object = 0, keep: str = "last4") -> Column:
         make = lambda b, x: F.concat(F.substring(d, 1, 6), F.substr(b, F.lit(1), n - 7), x)
     else:
         make = lambda b, x: F.concat(F.substr(b, F.lit(1), n - 1), x)
-    new = once(body, lambda b: tries(lambda x: make(b, x)))
+    new = _once(body, lambda b: tries(lambda x: make(b, x)))
     chars = F.split(canonical(c), "")
     # digits of the new number, one by one, where the old ones were
-    placed = once(new, lambda v: F.aggregate(chars, F.lit(""), lambda acc, ch: F.when(ch.rlike("[0-9]"), F.concat(acc, F.substr(v, F.length(F.regexp_replace(acc, "[^0-9]", "")) + 1, F.lit(1)))).otherwise(F.concat(acc, ch))))
+    placed = _once(new, lambda v: F.aggregate(chars, F.lit(""), lambda acc, ch: F.when(ch.rlike("[0-9]"), F.concat(acc, F.substr(v, F.length(F.regexp_replace(acc, "[^0-9]", "")) + 1, F.lit(1)))).otherwise(F.concat(acc, ch))))
     rest = F.concat(F.repeat(F.lit("*"), F.greatest(F.length(canonical(c)) - 4, F.lit(0))), F.substr(canonical(c), F.greatest(F.length(canonical(c)) - 3, F.lit(1))))
     return F.when(d.rlike("^[0-9]{13,19}$"), F.when(canonical(c) == d, new).otherwise(placed)).otherwise(rest)
 
@@ -255,22 +259,30 @@ def mask_card(c: Column, seed: object = 0, keep: str = "last4") -> Column:
 def mask_ip(c: Column, seed: object = 0, subnet_bits: int = 8, mask_localhost: bool = False) -> Column:
     """IPv4, with or without a prefix length: the first ``subnet_bits`` stay, the others come from the
     hash (beyond a prefix length they are zero).  127.0.0.1 and what isn't an address stay.  IPv6 in Arrow batches."""
-    t = F.trim(canonical(c))
     octet = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     form = rf"^{octet}\.{octet}\.{octet}\.{octet}(/([0-9]|[12][0-9]|3[0-2]))?$"
-    net = F.split_part(t, F.lit("/"), F.lit(1))
-    part = lambda i: F.split_part(net, F.lit("."), F.lit(i)).try_cast("bigint")
-    n = part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
     low = (1 << (32 - subnet_bits)) - 1
-    new = n.bitwiseAND(F.lit(0xFFFFFFFF ^ low)).bitwiseOR(number(seeded(net, seed)).bitwiseAND(F.lit(low)))
-    length = F.split_part(t, F.lit("/"), F.lit(2)).try_cast("int")
-    # a network's own address: no bits beyond the prefix
-    size = F.pow(F.lit(2), 32 - F.coalesce(length, F.lit(32))).cast("bigint")
-    new = new - new % size
-    dotted = F.concat_ws(".", *[(F.floor(new / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)])
-    dotted = F.when(length.isNotNull(), F.concat(dotted, F.lit("/"), length.cast("string"))).otherwise(dotted)
-    keep = F.lit(False) if mask_localhost else net.startswith("127.")
-    return F.when(t.rlike(form) & ~keep, dotted).otherwise(canonical(c))
+
+    def inside(net):
+        part = lambda p, k: F.get(p, k).try_cast("bigint")
+        n = _once(F.split(net, r"\."), lambda p: part(p, 0) * 16777216 + part(p, 1) * 65536 + part(p, 2) * 256 + part(p, 3))
+        return n.bitwiseAND(F.lit(0xFFFFFFFF ^ low)).bitwiseOR(number(seeded(net, seed)).bitwiseAND(F.lit(low)))
+
+    dotted = lambda n: F.concat_ws(".", *[F.shiftright(n, 8 * k).bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)])
+
+    def network(new, length):
+        # a network's own address: no bits beyond the prefix
+        size = F.pow(F.lit(2), 32 - length).cast("bigint")
+        return F.concat(_once(new - new % size, dotted), F.lit("/"), length.cast("string"))
+
+    def masked(p):
+        # an address alone has no length: a cast of what isn't a number would throw and be caught, row by row
+        net, length = F.get(p, 0), F.get(p, 1).try_cast("int")
+        keep = F.lit(False) if mask_localhost else net.startswith("127.")
+        new = F.when(length.isNull(), _once(inside(net), dotted)).otherwise(_once(inside(net), lambda n: network(n, length)))
+        return F.when(~keep, new)
+
+    return _once(canonical(c), lambda v: F.coalesce(F.when(F.trim(v).rlike(form), _once(F.split(F.trim(v), "/"), masked)), v))
 
 
 def mask_ipv6(c: Column, seed: object = 0, subnet_bits: int = 16) -> Column:

@@ -107,6 +107,28 @@ def test_ip(spark):
     assert six[0].startswith("2001:") and six[0] != "2001:db8::1" and six[1:] == ["::1", "x", None]
 
 
+def test_ip_is_worked_out_once(spark, monkeypatch):
+    """The value is named once in the plan, and no cast of an address fails: one that does throws, row by row."""
+    plan = spark.range(1).select(m.mask_ip(F.upper(F.lit("10.20.30.40")), 1).alias("o"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(") == 1
+    v = ["10.20.30.40", " 10.1.2.200/24 ", "127.0.0.1", "1.2.3", "", "no/x", None]
+    want = run(spark, lambda c: m.mask_ip(c, 1), v)
+    monkeypatch.setattr(type(F.lit(1)), "try_cast", lambda c, kind: c.cast(kind))
+    assert run(spark, lambda c: m.mask_ip(c, 1), v) == want and want[2:] == v[2:]
+
+
+@pytest.mark.parametrize("bits", [0, 8, 13, 24, 32])
+def test_ip_by_integers(spark, bits):
+    """Against Python's own addresses, with and without a prefix length."""
+    import ipaddress
+
+    v = [f"{a}.{(a * 7) % 256}.{255 - a}.{(a * 13) % 256}" for a in range(0, 256, 15) if a != 127]
+    low = (1 << (32 - bits)) - 1
+    new = lambda x: (int(ipaddress.IPv4Address(x)) & ~low) | (int(sha(f"1:{x}")[:8], 16) & low)
+    got = run(spark, lambda c: m.mask_ip(c, 1, bits), v + [f"{x}/{i * 2}" for i, x in enumerate(v[:17])])
+    assert got == [str(ipaddress.IPv4Address(new(x))) for x in v] + [str(ipaddress.ip_network((new(x), i * 2), strict=False)) for i, x in enumerate(v[:17])]
+
+
 def test_text_and_retention(spark):
     v = ["call 212-555-1234 or a.b@c.org", "https://x.y/z?q=1 on 1/2/2020 ssn 123-45-6789", "", None]
     got = run(spark, lambda c: m.mask_text(c, ["email", "phone_us", "url", "ssn", "date_us", "("], "<$\\x>"), v)
